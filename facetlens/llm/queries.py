@@ -6,12 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, neardup, quality, sharding
+from . import decontaminate, mixing, neardup, quality, sharding, tokens
 from .common import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokens.read_records(tokens.write_records(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(spread(table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -33,7 +39,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_mixing, op4_decontaminate, op5_sharding, op9_neardup, op10_quality)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_tokens, op3_mixing, op4_decontaminate, op5_sharding, op9_neardup, op10_quality)}
 
 ALPHABET = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
