@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, neardup, pages, pii, quality, sharding, tokens
+from . import decontaminate, mixing, neardup, pages, pii, quality, sharding, substring_dedup, suffix_dedup, tokens
 from .common import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,10 @@ def op1_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_records(tokens.write_records(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op2_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_duplicates(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(spread(table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -38,6 +42,10 @@ def op7_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract(table(spark, sf_dir, "pages"))
 
 
+def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.components(table(spark, sf_dir, "documents"))
 
@@ -47,7 +55,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_tokens, op3_mixing, op4_decontaminate, op5_sharding, op6_pii, op7_pages, op9_neardup, op10_quality)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_tokens, op2_suffix, op3_mixing, op4_decontaminate, op5_sharding, op6_pii, op7_pages, op8_substring, op9_neardup, op10_quality)}
 
 ALPHABET = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
