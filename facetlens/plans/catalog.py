@@ -1,4 +1,380 @@
-"""Queries by name and their SQL."""
+"""Queries by name over the fixture tables (whole tables), and the SQL that checks them."""
 
-QUERIES = {}
-SQL = {}
+from __future__ import annotations
+
+from functools import reduce
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions.vec import rounded, vector_of, vector_sum
+from ..operators import agreement, constructs, diagnostics, kernels, naming, redundancy, retention, similarity
+from ..operators.fit import fit_matrix, similarity_matrix
+from ..sources.items import fixture, table
+from .oracle import SQL
+
+THRESHOLD = 0.40
+DEPTH = 5
+POOL = 400
+PICK = 5
+
+QUERIES: dict = {}
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def labels_of(items: DataFrame) -> DataFrame:
+    """Each factor's label vector: that of its first item."""
+    return items.groupBy(F.col("factor").alias("construct")).agg(F.min_by("v", "ord").alias("w"))
+
+
+def loadings_of(items: DataFrame) -> DataFrame:
+    """The leading coordinates as pseudo-loadings."""
+    return items.select("ord", F.posexplode(F.slice("v", 1, DEPTH)).alias("f_ord", "loading")).select("ord", "f_ord", F.format_string("F%d", F.col("f_ord") + 1).alias("factor"), "loading")
+
+
+def theory_of(items: DataFrame) -> DataFrame:
+    return items.select("ord", F.col("factor").alias("theoretical"))
+
+
+def phi_of(items: DataFrame) -> DataFrame:
+    """Correlations of the pseudo-loadings, by position."""
+    l = loadings_of(items)
+    a, b = l.select("ord", F.col("f_ord").alias("f1"), F.col("loading").alias("x")), l.select("ord", F.col("f_ord").alias("f2"), F.col("loading").alias("y"))
+    return a.join(b, "ord").groupBy("f1", "f2").agg(F.corr("x", "y").alias("r"))
+
+
+def pool_of(items: DataFrame) -> DataFrame:
+    return items.select(F.col("ord").alias("row"), F.format_string("w%d", "ord").alias("word"), F.format_string("f%d", F.floor(F.col("ord") / 2)).alias("family"), (F.col("ord") % 3 == 0).alias("tier1"), "v")
+
+
+def targets_of(items: DataFrame) -> DataFrame:
+    return vector_sum(items.select("factor", "v"), "factor", unit=False).select(F.col("factor").alias("target"), F.transform("s", lambda x: x / F.col("n")).alias("t"))
+
+
+def eigen_of(items: DataFrame) -> DataFrame:
+    """Variances of the dimensions, scaled to sum to their number and ranked: shaped like eigenvalues."""
+    v = items.select(F.posexplode("v").alias("pos", "x")).groupBy("pos").agg(F.var_pop("x").alias("s2"))
+    v = v.crossJoin(v.agg(F.sum("s2").alias("all"), F.count("*").alias("j")))
+    return v.select("pos", (F.col("s2") * F.col("j") / F.col("all")).alias("eig")).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("eig"), "pos"))).select("rank", "eig")
+
+
+def six(df: DataFrame, *cols: str) -> DataFrame:
+    return df.withColumns({c: rounded(F.col(c)) for c in cols})
+
+
+def pairs(spark: SparkSession, sf_dir: str, encoding: str = "atomic", threshold: float | None = None) -> DataFrame:
+    return similarity.similarity_pairs(fixture(spark, sf_dir), encoding, threshold)
+
+
+@query
+def unit_norms(spark, sf_dir):
+    d = fixture(spark, sf_dir)
+    return d.select("ord", "code", rounded(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).alias("norm"))
+
+
+@query
+def atomic_pairs(spark, sf_dir):
+    return six(pairs(spark, sf_dir), "sim")
+
+
+@query
+def keyed_pairs(spark, sf_dir):
+    return six(pairs(spark, sf_dir, "keyed"), "sim")
+
+
+@query
+def squid_pairs(spark, sf_dir):
+    return six(pairs(spark, sf_dir, "squid"), "sim")
+
+
+@query
+def pearson_pairs(spark, sf_dir):
+    return six(pairs(spark, sf_dir, "pearson"), "sim")
+
+
+@query
+def encoding_ranges(spark, sf_dir):
+    each = [diagnostics.sim_range(pairs(spark, sf_dir, e)).withColumn("encoding", F.lit(e)) for e in similarity.ENCODINGS]
+    return six(reduce(DataFrame.unionByName, each), "lowest", "highest", "mean")
+
+
+@query
+def redundant_pairs(spark, sf_dir):
+    return redundancy.redundant_pairs(pairs(spark, sf_dir, threshold=THRESHOLD), THRESHOLD)
+
+
+@query
+def redundant_clusters(spark, sf_dir):
+    return redundancy.connected_components(pairs(spark, sf_dir, threshold=THRESHOLD))
+
+
+@query
+def centrality(spark, sf_dir):
+    d = fixture(spark, sf_dir)
+    return six(redundancy.centrality(similarity.similarity_pairs(d), d.count()), "centrality")
+
+
+@query
+def suggest_remove(spark, sf_dir):
+    d = fixture(spark, sf_dir)
+    central = redundancy.centrality(similarity.similarity_pairs(d), d.count())
+    return redundancy.suggest_remove(redundancy.connected_components(pairs(spark, sf_dir, threshold=THRESHOLD)), central)
+
+
+@query
+def anchor_centroid_loo(spark, sf_dir):
+    return six(constructs.anchor_centroid(fixture(spark, sf_dir)), "sim")
+
+
+@query
+def anchor_label(spark, sf_dir):
+    d = fixture(spark, sf_dir)
+    return six(constructs.anchor_labels(d, labels_of(d)), "sim")
+
+
+@query
+def weak_items(spark, sf_dir):
+    return six(constructs.weakest(constructs.anchor_centroid(fixture(spark, sf_dir))), "own")
+
+
+@query
+def projection(spark, sf_dir):
+    d = fixture(spark, sf_dir)
+    return six(constructs.project(d, d.where("factor = '0'"), d.where("factor = '1'")), "projection", "scaled")
+
+
+@query
+def jinglejangle_flags(spark, sf_dir):
+    d = fixture(spark, sf_dir)
+    return constructs.jingle_jangle(d, labels_of(d))
+
+
+@query
+def item_fit_summary(spark, sf_dir):
+    d = fixture(spark, sf_dir)
+    items = d.where("ord % 50 <> 0")
+    return six(constructs.item_fit(d.where("ord % 50 = 0").select("ord", "v"), items, labels_of(items)), "sim_name", "sim_items", "gap", "nearest_sim")
+
+
+@query
+def short_form_topn(spark, sf_dir):
+    return constructs.short_form(constructs.anchor_centroid(fixture(spark, sf_dir)), PICK)
+
+
+@query
+def short_form_dropped(spark, sf_dir):
+    d = fixture(spark, sf_dir)
+    return constructs.dropped(d, constructs.short_form(constructs.anchor_centroid(d), PICK))
+
+
+@query
+def assign_items(spark, sf_dir):
+    return six(agreement.assign(loadings_of(fixture(spark, sf_dir))), "loading")
+
+
+@query
+def contingency_nmi(spark, sf_dir):
+    return six(agreement.nmi(table(spark, sf_dir, "documents"), "lang", "source"), "nmi")
+
+
+@query
+def contingency_ari(spark, sf_dir):
+    return six(agreement.ari(table(spark, sf_dir, "documents"), "lang", "source"), "ari")
+
+
+@query
+def daal(spark, sf_dir):
+    d = fixture(spark, sf_dir)
+    return six(agreement.daal(loadings_of(d), theory_of(d)), "daal")
+
+
+@query
+def omega(spark, sf_dir):
+    d = fixture(spark, sf_dir)
+    return six(agreement.omega(loadings_of(d), theory_of(d)), "omega_assigned", "omega_theoretical")
+
+
+@query
+def tucker_phi(spark, sf_dir):
+    d = fixture(spark, sf_dir)
+    other = loadings_of(d.withColumn("v", F.slice("v", DEPTH + 1, DEPTH)))
+    return six(agreement.tucker(loadings_of(d), other), "phi")
+
+
+@query
+def frobenius_phi(spark, sf_dir):
+    d = fixture(spark, sf_dir)
+    return six(agreement.frobenius(phi_of(d), phi_of(d.withColumn("v", F.slice("v", DEPTH + 1, DEPTH)))), "frobenius")
+
+
+@query
+def split_half(spark, sf_dir):
+    return six(agreement.split_half(pairs(spark, sf_dir)), "reliability")
+
+
+@query
+def disattenuated(spark, sf_dir):
+    return six(agreement.disattenuated(pairs(spark, sf_dir), pairs(spark, sf_dir, "pearson")), "r", "disattenuated")
+
+
+@query
+def consensus_mode(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("method"), (F.col("n_chars") % 7 + 1).alias("n_factors"))
+    return retention.consensus(d)
+
+
+@query
+def ekc_references(spark, sf_dir):
+    d = fixture(spark, sf_dir)
+    return six(retention.ekc(eigen_of(d), 64, d.count()), "eig", "ref")
+
+
+@query
+def sequential_rule(spark, sf_dir):
+    d = fixture(spark, sf_dir)
+    return retention.sequential(retention.ekc(eigen_of(d), 64, d.count()))
+
+
+@query
+def kaiser_count(spark, sf_dir):
+    return retention.kaiser(eigen_of(fixture(spark, sf_dir)))
+
+
+@query
+def tefi_partition(spark, sf_dir):
+    d = fixture(spark, sf_dir)
+    return six(diagnostics.tefi(similarity.similarity_pairs(d), d.select("ord", F.col("factor").alias("group"))), "tefi")
+
+
+@query
+def rmsr_pairs(spark, sf_dir):
+    d = fixture(spark, sf_dir)
+    return six(diagnostics.rmsr(similarity.similarity_pairs(d), d.select("ord", F.slice("v", 1, DEPTH).alias("l"))), "rmsr")
+
+
+@query
+def minmax_composite(spark, sf_dir):
+    d = fixture(spark, sf_dir).groupBy(F.col("factor").cast("int").alias("depth")).agg(F.avg(F.abs(F.col("v")[0])).alias("nmi"), F.avg(F.col("v")[1]).alias("tefi"))
+    return six(retention.composite(d), "nmi", "tefi", "nmi_norm", "tefi_norm", "composite")
+
+
+@query
+def pool_topk(spark, sf_dir):
+    d = fixture(spark, sf_dir)
+    return six(naming.pool_topk(pool_of(d), targets_of(d), POOL), "score").drop("v")
+
+
+@query
+def pool_gate(spark, sf_dir):
+    d = fixture(spark, sf_dir)
+    return six(naming.gate(naming.pool_topk(pool_of(d), targets_of(d), POOL)), "score").select("target", "place", "word", "family", "tier1", "score")
+
+
+@query
+def pool_pick(spark, sf_dir):
+    d = fixture(spark, sf_dir)
+    return six(naming.pick(naming.gate(naming.pool_topk(pool_of(d), targets_of(d), POOL)), PICK), "score")
+
+
+@query
+def nli_signed_pairs(spark, sf_dir):
+    rule = lambda p, h: (F.when(F.substring(p, 1, 3) == F.substring(h, 1, 3), 0.9).otherwise(0.1), (F.length(p) % 7) / 10.0)
+    return six(similarity.signed_nli(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("ord"), "text"), rule), "sim")
+
+
+@query
+def data_corr_matrix(spark, sf_dir):
+    cols = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    both = [(a, b) for k, a in enumerate(cols) for b in cols[k + 1 :]]
+    one = table(spark, sf_dir, "lineitem").agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in both])
+    return six(one.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}|{b}`").alias("r")) for a, b in both])).alias("c")).select("c.*"), "r")
+
+
+@query
+def response_clean_reverse_score(spark, sf_dir):
+    d = table(spark, sf_dir, "lineitem").select("l_returnflag", (F.col("l_quantity").cast("int") % 7).alias("q"))
+    return d.where(F.col("q").between(1, 5)).withColumn("reversed", 6 - F.col("q")).groupBy("l_returnflag", "q", "reversed").agg(F.count("*").alias("n"))
+
+
+@query
+def corplot_order(spark, sf_dir):
+    """Blocks of factors: those named first, in their order, then the others as they first appear; items stay in order."""
+    d = fixture(spark, sf_dir)
+    rank = d.groupBy("factor").agg(F.min("ord").alias("first")).withColumn("user", F.when(F.col("factor") == "3", 0).when(F.col("factor") == "1", 1).otherwise(2))
+    rank = rank.withColumn("block", F.row_number().over(Window.orderBy("user", "first"))).select("factor", "block")
+    return d.join(rank, "factor").select("ord", "factor", "block", F.row_number().over(Window.partitionBy("block").orderBy("ord")).alias("within"))
+
+
+@query
+def null_percentiles(spark, sf_dir):
+    draws = fixture(spark, sf_dir).select(F.posexplode("v").alias("rank", "eig"))
+    return six(retention.null_percentiles(draws), "q")
+
+
+@query
+def cd_improvement(spark, sf_dir):
+    d = fixture(spark, sf_dir).select((F.col("factor").cast("int") + 1).alias("k"), F.abs(F.col("v")[0]).alias("rmsr"))
+    return six(retention.cd_profile(d), "median_rmsr", "normalized", "improvement")
+
+
+# Kernels: no SQL form
+
+
+def dense(spark, sf_dir):
+    m, rows = similarity.matrix(fixture(spark, sf_dir))
+    return m, rows, similarity_matrix(m, "atomic", np.ones(len(m)))
+
+
+@query
+def fit_loadings(spark, sf_dir):
+    m, rows, s = dense(spark, sf_dir)
+    return fit_matrix(spark, s, [r["code"] for r in rows], [r["factor"] for r in rows], m.shape[1], n_factors=DEPTH).loadings_frame(spark)
+
+
+@query
+def parallel_analysis(spark, sf_dir):
+    m, _, _ = dense(spark, sf_dir)
+    return retention.parallel_analysis(spark, len(m), m.shape[1], n_iter=20)
+
+
+@query
+def map_rule(spark, sf_dir):
+    _, _, s = dense(spark, sf_dir)
+    c = kernels.map_criterion(kernels.psd_repair(s), 40)
+    return spark.createDataFrame([(k + 1, float(x)) for k, x in enumerate(c)], "m int, criterion double")
+
+
+@query
+def cd_profile(spark, sf_dir):
+    cols = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    # the comparison needs the cases themselves: by group means, so the table is read whole and the kernel stays small
+    d = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey")).agg(*[F.avg(c).alias(c) for c in cols]).orderBy("l_suppkey").select(*cols)
+    # cases are one row for each supplier, a dimension; the kernel holds them all on the driver and each executor
+    return retention.comparison_data(spark, np.array(d.collect(), float), k_max=2, n_samples=100, n_pop=2000)
+
+
+@query
+def ega_communities(spark, sf_dir):
+    _, rows, s = dense(spark, sf_dir)
+    c = kernels.walktrap(kernels.tmfg(s))
+    return spark.createDataFrame([(r["ord"], int(x)) for r, x in zip(rows, c, strict=True)], "ord long, community int")
+
+
+@query
+def uva_pairs(spark, sf_dir):
+    """Overlaps of the factors' label vectors in the EBIC network."""
+    rows = labels_of(fixture(spark, sf_dir)).orderBy("construct").collect()
+    s = kernels.psd_repair(similarity_matrix(np.array([r["w"] for r in rows]), "atomic", np.ones(len(rows))))
+    w = np.abs(kernels.wto(kernels.ebic_glasso(s, max(1000, 20 * len(s)))))
+    return spark.createDataFrame([(rows[i][0], rows[j][0], float(w[i, j])) for i in range(len(s)) for j in range(i + 1, len(s))], "a string, b string, overlap double")
+
+
+@query
+def item_map(spark, sf_dir):
+    m, rows, _ = dense(spark, sf_dir)
+    return spark.createDataFrame([(r["ord"], *map(float, x)) for r, x in zip(rows, kernels.pca(m), strict=True)], "ord long, x double, y double")
