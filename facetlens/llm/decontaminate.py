@@ -15,6 +15,7 @@ columns are ignored by `contamination` and kept by `decontaminate`.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -101,17 +102,18 @@ def item_blocks(items: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[list[t
     return blocks
 
 
-def searchers(docs: DataFrame, items: DataFrame, width: int) -> list:
+def searchers(docs: DataFrame, items: DataFrame) -> tuple[str, list]:
+    """A name for these items, and their blocks. Each block has at most BLOCK_BYTES, so they may be broadcast."""
     prepare(docs.sparkSession)
-    return [docs.sparkSession.sparkContext.broadcast(b) for b in item_blocks(items)]
+    return uuid.uuid4().hex, [docs.sparkSession.sparkContext.broadcast(b) for b in item_blocks(items)]
 
 
 _made: dict = {}
 
 
-def _ready(blocks: list, width: int) -> list[Searcher]:
+def _ready(name: str, blocks: list, width: int) -> list[Searcher]:
     """The tables, built once in each Python worker."""
-    key = (tuple(b.id if hasattr(b, "id") else id(b) for b in blocks), width)
+    key = (name, width)
     if key not in _made:
         _made.clear()
         _made[key] = [Searcher(b.value, width) for b in blocks]
@@ -128,10 +130,10 @@ def find_all(tables: list[Searcher], text: str | None) -> tuple[np.ndarray, set[
 
 def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and items (sorted ids) for every row of docs."""
-    blocks = searchers(docs, items, width)
+    name, blocks = searchers(docs, items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = _ready(blocks, width)
+        tables = _ready(name, blocks, width)
         for b in batches:
             found = [find_all(tables, t) for t in b.column(1).to_pylist()]
             ids = [sorted(x) for _, x in found]
@@ -147,11 +149,11 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> Data
 
 def decontaminate(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
     """The rows of docs in which no pattern occurs, with all their columns."""
-    blocks = searchers(docs, items, width)
+    name, blocks = searchers(docs, items)
 
     @F.pandas_udf("boolean")
     def clean(texts: pd.Series) -> pd.Series:
-        tables = _ready(blocks, width)
+        tables = _ready(name, blocks, width)
         return pd.Series([not find_all(tables, t)[1] for t in texts], dtype=bool)
 
     return docs.where(clean(F.col("text")))

@@ -29,6 +29,8 @@ BUDGET = 1.5
 CAP = 2.0
 #: Buckets of the seeded hash within one source and length. Only the bucket where the count runs out is ranked row by row.
 BUCKETS = 4096
+#: Words of a source's budget that are left to the dynamic program; longer documents add their own length.
+FINE = 1 << 16
 
 
 def targets(sizes: np.ndarray, weights: np.ndarray, budget: float, cap: float = CAP) -> np.ndarray:
@@ -62,11 +64,10 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, target: float) -> tuple[
     if rest < 0:  # by rounding of very large counts only
         extra[:] = 0
         rest = left
-    for k in np.argsort(-lengths, kind="stable"):  # greedy down to less than one document of any length that is left
-        more = min(int(counts[k] - extra[k]), rest // int(lengths[k])) if lengths[k] else 0
-        keep = 1 if more and lengths[k] <= 64 else 0  # a few short ones stay for the fine fit
-        extra[k] += max(0, more - keep)
-        rest -= max(0, more - keep) * int(lengths[k])
+    for k in np.argsort(-lengths, kind="stable"):  # the longest first, down to a budget that the dynamic program fits exactly
+        more = min(int(counts[k] - extra[k]), max(0, rest - FINE) // int(lengths[k])) if lengths[k] else 0
+        extra[k] += more
+        rest -= more * int(lengths[k])
     return rounds, extra + knapsack(lengths, counts - extra, rest)
 
 

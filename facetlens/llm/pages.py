@@ -34,6 +34,8 @@ from .common import only, prepare, spread
 
 #: Pages that the text model is fitted on at most.
 MAX_PAGES = 600
+#: What speaks for a block that stands in neither an article nor boilerplate.
+NEUTRAL = 1.0
 
 PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)\b\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
@@ -221,7 +223,7 @@ def main_blocks(blocks: list[Block], weights: np.ndarray, prior: float = 6.0, sm
     if not blocks:
         return []
     own = np.array([text_features(b) for b in blocks]) @ weights
-    score = [float(np.clip(s, -3, 3)) + (-prior if b.boiler else prior if b.content else 0.0) for s, b in zip(own, blocks, strict=True)]
+    score = [float(np.clip(s, -3, 3)) + (-prior if b.boiler else prior if b.content else NEUTRAL) for s, b in zip(own, blocks, strict=True)]
     edges, last = [], {}
     for k, b in enumerate(blocks):
         before = last.get(b.parent)

@@ -11,7 +11,7 @@ the nearest with room, and the runs are cut to fill what is left.
 Defined results: a null text counts as empty (size 1, crc32 0); null sources,
 languages and ids have a cell and an order of their own; repeated rows are
 rows; an empty table gives an empty result; further columns are ignored by
-`shard_plan` and kept by `shard`.
+`shard_plan` and kept by `shard`, which replaces any named shard, slot or hilbert.
 """
 
 from __future__ import annotations
@@ -197,4 +197,5 @@ def shard_plan(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """docs in shard order with shard, slot and hilbert; each partition written holds one run of the curve."""
     out = slotted(assigned(keyed(docs), shards))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("__shard").alias("shard"), F.col("__slot").alias("slot"), F.col("__curve").alias("hilbert"))
+    own = [c for c in docs.columns if c not in ("shard", "slot", "hilbert")]
+    return out.select(*[F.col(f"`{c}`") for c in own], F.col("__shard").alias("shard"), F.col("__slot").alias("slot"), F.col("__curve").alias("hilbert"))
