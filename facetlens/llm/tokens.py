@@ -38,7 +38,7 @@ from .common import new_path, only, parallel, prepare, spread, written
 MAGIC = b"FLTOKENS"
 END = 0
 #: Words whose ids a worker remembers before it starts afresh.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 #: Where chunks cut at single spaces could differ from the whole text: white space side by side, or special tokens.
 UNSAFE = re.compile(r"\s\s|<\|")
 
@@ -79,6 +79,8 @@ class Encoder:
 
         self.model = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.model.get_vocab_size() <= 1 << 16 else "<u4")
+        self.spaced = np.zeros(self.model.get_vocab_size(), bool)
+        self.spaced[[k for t, k in self.model.get_vocab().items() if t.startswith("\u0120")]] = True  # the byte-level sign of a space
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
 
@@ -89,17 +91,42 @@ class Encoder:
         for k in range(0, len(texts), span):
             yield from self._some([t or "" for t in texts[k : k + span]])
 
+    def words(self, words: list[str]) -> list[bytes]:
+        """Ids of each word with a space before it. They go through the library as one text; only a word's first token starts with the space, and where that doesn't hold each goes on its own."""
+        ids = np.array(self.model.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, self.kind)
+        cut = np.flatnonzero(self.spaced[ids])
+        if len(cut) != len(words):
+            return self.library([" " + w for w in words])
+        at = (cut * self.kind.itemsize).tolist()
+        raw = ids.tobytes()
+        return [raw[i:j] for i, j in zip(at, [*at[1:], len(raw)], strict=True)]
+
     def _some(self, texts: list[str]) -> list[bytes]:
         cut = [None if UNSAFE.search(t) else t.split(" ") for t in texts]
         if len(self.first) + len(self.later) > REMEMBERED:
             self.first, self.later = {}, {}
         heads = list({c[0] for c in cut if c} - self.first.keys())
-        tails = list(set().union(*(c[1:] for c in cut if c)) - self.later.keys())
         self.first.update(zip(heads, self.library(heads), strict=True))
-        self.later.update(zip(tails, self.library([" " + x for x in tails]), strict=True))
+        tails = [w for c in cut if c for w in c[1:]]
+        known = list(map(self.later.get, tails))
+        new = list({w for w, ids in zip(tails, known, strict=True) if ids is None})
+        if new:
+            full = [w for w in new if w]  # a space at the end of a text leaves an empty word
+            for k in range(0, len(full), 4096):
+                some = full[k : k + 4096]
+                self.later.update(zip(some, self.words(some), strict=True))
+            if len(full) < len(new):
+                self.later[""] = self.library([" "])[0]
+            known = list(map(self.later.__getitem__, tails))
         whole = iter(self.library([t for t, c in zip(texts, cut, strict=True) if c is None]))
-        later = self.later.__getitem__
-        return [next(whole) if c is None else self.first[c[0]] + b"".join(map(later, c[1:])) for c in cut]
+        out, at = [], 0
+        for c in cut:
+            if c is None:
+                out.append(next(whole))
+                continue
+            out.append(self.first[c[0]] + b"".join(known[at : at + len(c) - 1]))
+            at += len(c) - 1
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
