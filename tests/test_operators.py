@@ -116,7 +116,7 @@ def test_depth_grid():
 def test_pool_search_in_parts_equals_full_sort(spark):
     rng = np.random.default_rng(5)
     pool = spark.createDataFrame([(k, f"w{k}", f"f{k // 2}", k % 3 == 0, rng.integers(-2, 3, 4).astype(float).tolist()) for k in range(200)], "row long, word string, family string, tier1 boolean, v array<double>")
-    target = spark.createDataFrame([("a", [1.0, 2, 0, 1]), ("b", [0.0, -1, 1, 1])], "target string, t array<double>")
+    target = spark.createDataFrame([("a", [1.0, 2.0, 0.0, 1.0]), ("b", [0.0, -1.0, 1.0, 1.0])], "target string, t array<double>")
     full = {}
     for r in naming.score_against(pool, target).collect():
         full.setdefault(r.target, []).append((-round(r.score, 9), r.row))
