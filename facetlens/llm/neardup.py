@@ -47,36 +47,39 @@ _ODD = mixed(np.arange(1, TOKENS + 1, dtype=U)) | U(1)
 _XOR = mixed(np.arange(1001, TOKENS + 1001, dtype=U))
 
 
-def signature(s: np.ndarray) -> bytes:
-    """TOKENS minwise tokens of 32 bits."""
+def signature(s: np.ndarray) -> tuple[bytes, bytes]:
+    """TOKENS minwise tokens of 16 bits, to compare and to branch inside a node by, and the first TREES of them in 64 bits, which are the roots."""
     low = np.full(TOKENS, U(2**64 - 1))
     for k in range(0, len(s), 4096):
         part = s[k : k + 4096]
         low = np.minimum(low, ((part[None, :] ^ _XOR[:, None]) * _ODD[:, None]).min(axis=1))
-    return (mixed(low) >> U(32)).astype("<u4").tobytes()
+    low = mixed(low)
+    return (low >> U(48)).astype("<u2").tobytes(), low[:TREES].astype("<u8").tobytes()
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n (size of the set), k1 and k2 (128 bits of it) and sig."""
+    """doc_id, n (size of the set), k1 and k2 (128 bits of it), sig and roots."""
     prepare(docs.sparkSession)
     df = only(docs, "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, k1, k2, sig = [], [], [], []
+            n, k1, k2, sig, roots = [], [], [], [], []
             for text in b.column(1).to_pylist():
                 s = shingle_set(text, width)
                 n.append(len(s))
                 k1.append(int(s.sum(dtype=U).astype(np.int64)))
                 k2.append(int(mixed(s + U(77)).sum(dtype=U).astype(np.int64)))
-                sig.append(signature(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sig, pa.binary())], ["doc_id", "n", "k1", "k2", "sig"])
+                tokens, root = signature(s) if len(s) else (None, None)
+                sig.append(tokens)
+                roots.append(root)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sig, pa.binary()), pa.array(roots, pa.binary())], ["doc_id", "n", "k1", "k2", "sig", "roots"])
 
-    return df.mapInArrow(run, f"doc_id {df.dtypes[0][1]}, n long, k1 long, k2 long, sig binary")
+    return df.mapInArrow(run, f"doc_id {df.dtypes[0][1]}, n long, k1 long, k2 long, sig binary, roots binary")
 
 
 def token(sig: Column, at: Column | int) -> Column:
-    return F.substring(sig, 4 * at + 1, F.lit(4)) if isinstance(at, Column) else F.substring(sig, 4 * at + 1, 4)
+    return F.substring(sig, 2 * at + 1, F.lit(2)) if isinstance(at, Column) else F.substring(sig, 2 * at + 1, 2)
 
 
 def alike(sigs: np.ndarray, one: np.ndarray) -> np.ndarray:
@@ -107,7 +110,7 @@ def hopeful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each small node (node, id, tree, sig), the documents that have a partner of at least MAYBE equal tokens."""
     out: list[tuple[np.ndarray, ...]] = []
     for t in grouped(batches):
-        sigs = np.frombuffer(b"".join(t.column(3).to_pylist()), "<u4").reshape(-1, TOKENS)
+        sigs = np.frombuffer(b"".join(t.column(3).to_pylist()), "<u2").reshape(-1, TOKENS)
         ok = np.zeros(len(sigs), bool)
         for k in range(len(sigs) - 1):
             near = alike(sigs[k + 1 :], sigs[k]) >= MAYBE
@@ -131,15 +134,17 @@ def sorted_nodes(df: DataFrame) -> DataFrame:
 
 
 def proposals(sets: DataFrame) -> DataFrame:
-    """node, id, tree of the documents to confirm. sets: id, sig."""
-    roots = F.explode(F.array(*[F.struct(F.xxhash64(F.lit(t), token(F.col("sig"), t)).alias("node"), F.lit(t).alias("tree")) for t in range(TREES)])).alias("r")
-    nodes = sets.select("id", "sig", roots).select("r.node", "id", "r.tree", "sig")
+    """node, id, tree of the documents to confirm. sets: id, sig, roots."""
+    roots = F.explode(F.array(*[F.struct(F.xxhash64(F.lit(t), F.substring("roots", 8 * t + 1, 8)).alias("node"), F.lit(t).alias("tree")) for t in range(TREES)])).alias("r")
+    # Most roots hold one document, so tokens join them only once those are gone.
+    nodes = sets.select("id", roots).select("r.node", "id", "r.tree")
     found = []
     for level in range(LEVELS + 1):
         stat = nodes.groupBy("node").agg(F.count("*").alias("size"), F.min("id").alias("leader"), F.bit_xor(F.xxhash64("id")).alias("who")).where("size > 1")
         # Nodes of the same documents are one node, whatever tree they stand in.
         stat = stat.groupBy("size", "leader", "who").agg(F.min("node").alias("node")).drop("who")
-        members = written(nodes.join(stat, "node"), "nodes")
+        members = nodes.join(stat, "node")
+        members = written(members if level else members.join(sets.select("id", "sig"), "id").select("node", "id", "tree", "sig", "size", "leader"), "nodes")
         small = members.where(F.col("size") <= SMALL).select("node", "id", "tree", "sig")
         found.append(written(sorted_nodes(small).mapInArrow(hopeful, "node long, id long, tree int"), "small"))
         large = members.where(F.col("size") > SMALL)
@@ -262,8 +267,8 @@ def components(docs: DataFrame, percent: int = 85, width: int = 5) -> DataFrame:
     spark = docs.sparkSession
     docs = spread(docs)
     sk = written(sketches(docs, width), "sketches")
-    sets = written(sk.where("n > 0 and doc_id is not null").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")), "sets")
-    work = written(proposals(sets.select("id", "sig")), "work")
+    sets = written(sk.where("n > 0 and doc_id is not null").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"), F.first("roots").alias("roots")), "sets")
+    work = written(proposals(sets.select("id", "sig", "roots")), "work")
     ids = work.select("id").distinct()
     texts = written(only(docs, "doc_id", "text").join(ids.hint("merge"), F.col("doc_id") == F.col("id")).where("text is not null").select("id", "text").dropDuplicates(["id"]), "texts")
     edges: list[DataFrame] = []
