@@ -37,7 +37,7 @@ from .shingles import U, mixed, shingle_set
 #: Tokens in a signature, independent trees, largest node that is compared at once, levels, and tokens that a node branches by.
 TOKENS, TREES, SMALL, LEVELS, FAN = 32, 12, 64, 4, 2
 #: Trees confirmed together; later ones skip nodes whose documents are known to be one component.
-PHASES = ((0, 1), (1, 4), (4, TREES))
+PHASES = ((0, 1), (1, TREES))
 #: Share of equal tokens from which a pair is confirmed on full sets: 0.8 is below 16 of 32 once in 10**4 a tree, over twelve trees never.
 MAYBE = 14
 #: Documents of one large node that a task holds at once.
@@ -138,21 +138,19 @@ def proposals(sets: DataFrame) -> DataFrame:
     roots = F.explode(F.array(*[F.struct(F.xxhash64(F.lit(t), F.substring("roots", 8 * t + 1, 8)).alias("node"), F.lit(t).alias("tree")) for t in range(TREES)])).alias("r")
     # Most roots hold one document, so tokens join them only once those are gone.
     nodes = sets.select("id", roots).select("r.node", "id", "r.tree")
-    found = []
+    found, smalls = [], []
     for level in range(LEVELS + 1):
         stat = nodes.groupBy("node").agg(F.count("*").alias("size"), F.min("id").alias("leader"), F.bit_xor(F.xxhash64("id")).alias("who")).where("size > 1")
         # Nodes of the same documents are one node, whatever tree they stand in.
         stat = stat.groupBy("size", "leader", "who").agg(F.min("node").alias("node")).drop("who")
         members = nodes.join(stat, "node")
         members = written(members if level else members.join(sets.select("id", "sig"), "id").select("node", "id", "tree", "sig", "size", "leader"), "nodes")
-        small = members.where(F.col("size") <= SMALL).select("node", "id", "tree", "sig")
-        found.append(written(sorted_nodes(small).mapInArrow(hopeful, "node long, id long, tree int"), "small"))
+        smalls.append(members.where(F.col("size") <= SMALL).select("node", "id", "tree", "sig"))
         large = members.where(F.col("size") > SMALL)
         lead = large.where("id = leader").select("node", F.col("sig").alias("lead")).dropDuplicates(["node"])
         same = reduce(lambda a, b: a + b, [(token(F.col("sig"), k) == token(F.col("lead"), k)).cast("int") for k in range(TOKENS)])
         large = written(large.join(lead, "node").withColumn("near", same >= MAYBE), "large")
         if large.isEmpty():
-            drop_written(members)
             break
         stars = large.where("near or id = leader").select("node", "id", "tree")
         if level == LEVELS:  # what has shared five tokens and is still many is compared as it is
@@ -172,6 +170,8 @@ def proposals(sets: DataFrame) -> DataFrame:
         fan = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.pmod(F.xxhash64("node", F.lit(j)), F.lit(TOKENS)).cast("int").alias("at")) for j in range(FAN)])).alias("c")
         child = F.xxhash64("node", "c.j", token(F.col("sig"), F.col("c.at")))
         nodes = rows.select("node", "id", "tree", "sig", fan).select(child.alias("node"), "id", "tree", "sig")
+    small = sorted_nodes(reduce(DataFrame.unionByName, smalls))
+    found.append(written(small.mapInArrow(hopeful, "node long, id long, tree int"), "small"))
     return reduce(DataFrame.unionByName, found)
 
 
