@@ -169,7 +169,8 @@ def proposals(sets: DataFrame) -> DataFrame:
         rows = large.where(F.col("odd") > SMALL)
         fan = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.pmod(F.xxhash64("node", F.lit(j)), F.lit(TOKENS)).cast("int").alias("at")) for j in range(FAN)])).alias("c")
         child = F.xxhash64("node", "c.j", token(F.col("sig"), F.col("c.at")))
-        nodes = rows.select("node", "id", "tree", "sig", fan).select(child.alias("node"), "id", "tree", "sig")
+        # written, as it is read twice: for the sizes of the nodes and for their members
+        nodes = written(rows.select("node", "id", "tree", "sig", fan).select(child.alias("node"), "id", "tree", "sig"), "children")
     small = sorted_nodes(reduce(DataFrame.unionByName, smalls))
     found.append(written(small.mapInArrow(hopeful, "node long, id long, tree int"), "small"))
     return reduce(DataFrame.unionByName, found)
