@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -367,11 +368,13 @@ def ega_communities(spark, sf_dir):
 
 @query
 def uva_pairs(spark, sf_dir):
-    """Overlaps of the factors' label vectors in the EBIC network."""
-    rows = labels_of(fixture(spark, sf_dir)).orderBy("construct").collect()
-    s = kernels.psd_repair(similarity_matrix(np.array([r["w"] for r in rows]), "atomic", np.ones(len(rows))))
+    """Overlaps of all item pairs in the EBIC network."""
+    _, rows, s = dense(spark, sf_dir)
+    s = kernels.psd_repair(s)
     w = np.abs(kernels.wto(kernels.ebic_glasso(s, max(1000, 20 * len(s)))))
-    return spark.createDataFrame([(rows[i][0], rows[j][0], float(w[i, j])) for i in range(len(s)) for j in range(i + 1, len(s))], "a string, b string, overlap double")
+    codes = np.array([r["code"] for r in rows])
+    i, j = np.triu_indices(len(s), 1)
+    return spark.createDataFrame(pa.table({"a": codes[i], "b": codes[j], "overlap": w[i, j]}))
 
 
 @query

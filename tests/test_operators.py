@@ -4,6 +4,7 @@ import pytest
 from facetlens.functions.vec import norm
 from facetlens.operators import agreement, constructs, embedding, kernels, naming, redundancy, retention, similarity
 from facetlens.operators.fit import check_similarity, fit, medoids, simplify
+from facetlens.plans import catalog
 from facetlens.sources.items import check_scoring, items_from, load_npz
 
 
@@ -98,6 +99,21 @@ def test_networks_find_planted_groups():
     assert np.allclose(w, w.T) and not np.diag(w).any()
 
 
+def test_graphical_lasso_meets_its_conditions():
+    s = np.corrcoef(np.random.default_rng(8).standard_normal((15, 40)))
+    x = kernels.graphical_lasso(s, 0.1)
+    g = np.linalg.inv(x) - s
+    assert np.abs(g).max() < 0.1 + 1e-3 and np.abs(g - 0.1 * np.sign(x))[x != 0].max() < 1e-3 and (x == 0).any()
+
+
+def test_uva_sees_all_items(spark, tmp_path):
+    m, f = planted(12, 32, 2)
+    m[7] = m[3] + 0.05
+    spark.createDataFrame([(k, v.tolist(), f[k]) for k, v in enumerate(m)], "vec_id long, embedding array<double>, label string").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r.a, r.b): r.overlap for r in catalog.QUERIES["uva_pairs"](spark, str(tmp_path)).collect()}
+    assert len(got) == 12 * 11 // 2 and max(got, key=got.get) == ("v0003", "v0007")
+
+
 def test_comparison_data_falls_with_factors(spark):
     rng = np.random.default_rng(3)
     x = np.repeat(rng.standard_normal((300, 3)), 4, axis=1) * 0.8 + 0.6 * rng.standard_normal((300, 12))
