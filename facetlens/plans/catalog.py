@@ -353,10 +353,7 @@ def map_rule(spark, sf_dir):
 @query
 def cd_profile(spark, sf_dir):
     cols = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-    # the comparison needs the cases themselves: by group means, so the table is read whole and the kernel stays small
-    d = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey")).agg(*[F.avg(c).alias(c) for c in cols]).orderBy("l_suppkey").select(*cols)
-    # cases are one row for each supplier, a dimension; the kernel holds them all on the driver and each executor
-    return retention.comparison_data(spark, np.array(d.collect(), float), k_max=2, n_samples=100, n_pop=2000)
+    return retention.comparison_data_of(table(spark, sf_dir, "lineitem").select(*cols), k_max=2, alpha=0.30)
 
 
 @query

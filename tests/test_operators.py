@@ -125,6 +125,37 @@ def test_comparison_data_falls_with_factors(spark):
     assert kernels.mann_whitney_less(np.arange(10.0), np.arange(10.0) + 5) < 0.01
 
 
+def test_comparison_data_takes_all_cases(spark):
+    rng = np.random.default_rng(9)
+    x = np.round(rng.standard_normal((400, 1)) * 0.8 + 0.6 * rng.standard_normal((400, 5)), 1)
+    df = spark.createDataFrame(x.tolist(), ", ".join(f"c{k} double" for k in range(5)))
+    a, b = (sorted(d.collect()) for d in (retention.comparison_data(spark, x, 2, 60, 2000, alpha=0.3), retention.comparison_data_of(df, 2, 60, 2000, alpha=0.3)))
+    assert np.allclose([r.median_rmsr for r in a], [r.median_rmsr for r in b]) and [r.n_factors for r in b] == [1, 1]
+    with pytest.raises(ValueError, match="missing"):
+        retention.comparison_data_of(df.union(spark.sql("SELECT NULL, 0D, 0D, 0D, 0D")))
+
+
+def test_comparison_query_takes_rows_not_means(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(10)
+    rows = [(k % 9, *x) for k, x in enumerate((rng.random((300, 4)) * 50).tolist())]
+    spark.createDataFrame(rows, "l_suppkey int, l_quantity double, l_extendedprice double, l_discount double, l_tax double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    seen, inner = [], retention.comparison
+    monkeypatch.setattr(retention, "comparison", lambda *a: seen.append((a[1], *a[4:7])) or inner(*a))
+    assert len(catalog.QUERIES["cd_profile"](spark, str(tmp_path)).collect()) == 2 and seen == [(300, 2, 500, 10_000)]
+
+
+def test_drawn_counts_equal_drawn_cases():
+    population, observed = np.random.default_rng(1).standard_normal((50, 4)), np.ones(4)
+    times = np.random.default_rng(7).multinomial(200, np.full(50, 1 / 50))
+    values = np.linalg.eigvalsh(np.corrcoef(np.repeat(population, times, axis=0).T))[::-1]
+    assert abs(kernels.cd_misfit(population, observed, 200, np.random.default_rng(7)) - np.sqrt(((values - observed) ** 2).mean())) < 1e-12
+
+
+def test_sequential_rule_stops():
+    a = np.arange(40.0)
+    assert [kernels.cd_factors(x, 0.3) for x in ([a], [a, a - 20], [a, a, a - 20], [a, a - 20, a - 20])] == [1, 2, 1, 2]
+
+
 def test_depth_grid():
     assert len(retention.depth_grid(3, 4096)) == 148 and retention.depth_grid(3, 10, 4) == [3, 7, 10]
 
