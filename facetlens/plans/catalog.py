@@ -340,13 +340,13 @@ def fit_loadings(spark, sf_dir):
 @query
 def parallel_analysis(spark, sf_dir):
     m, _, _ = dense(spark, sf_dir)
-    return retention.parallel_analysis(spark, len(m), m.shape[1], n_iter=20)
+    return retention.parallel_analysis(spark, len(m), m.shape[1])
 
 
 @query
 def map_rule(spark, sf_dir):
     _, _, s = dense(spark, sf_dir)
-    c = kernels.map_criterion(kernels.psd_repair(s), 40)
+    c = kernels.map_criterion(kernels.psd_repair(s))
     return spark.createDataFrame([(k + 1, float(x)) for k, x in enumerate(c)], "m int, criterion double")
 
 

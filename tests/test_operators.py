@@ -114,6 +114,23 @@ def test_uva_sees_all_items(spark, tmp_path):
     assert len(got) == 12 * 11 // 2 and max(got, key=got.get) == ("v0003", "v0007")
 
 
+def test_average_partials_go_past_forty(spark, tmp_path):
+    m = np.random.default_rng(11).standard_normal((60, 80))
+    spark.createDataFrame([(k, v.tolist(), "f") for k, v in enumerate(m)], "vec_id long, embedding array<double>, label string").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.m: r.criterion for r in catalog.QUERIES["map_rule"](spark, str(tmp_path)).collect()}
+    u = similarity.unit(m)
+    s = kernels.psd_repair(u @ u.T)
+    values, vectors = np.linalg.eigh(s)
+    for k in (1, 41, 58):
+        e = s - (vectors[:, -k:] * values[-k:]) @ vectors[:, -k:].T
+        p = e / np.sqrt(np.outer(np.diag(e), np.diag(e)))
+        assert abs(got[k] - ((p * p).sum() - 60) / (60 * 59)) < 1e-9
+    assert sorted(got) == list(range(1, 59))
+    q = {r["rank"]: r.q for r in catalog.QUERIES["parallel_analysis"](spark, str(tmp_path)).collect()}
+    draws = np.array([kernels.null_eigenvalues(60, 80, 42 + k) for k in range(100)])
+    assert np.allclose([q[k + 1] for k in range(60)], np.percentile(draws, 95, axis=0))
+
+
 def test_comparison_data_falls_with_factors(spark):
     rng = np.random.default_rng(3)
     x = np.repeat(rng.standard_normal((300, 3)), 4, axis=1) * 0.8 + 0.6 * rng.standard_normal((300, 12))
