@@ -41,7 +41,8 @@ LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012
 IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-SOME = re.compile(r"[0-9@]|(?i:passw|passwd|token|secret|api.?key)")
+#: What every span has: a digit, an at sign, a credential's name (NAMED) or a bracketed "at" (SPELLED).
+SOME = re.compile(r"[0-9@]|(?i:passw|pwd|passphrase|token|secret|api[_-]?key|access[_-]?key|auth|[\[(]\s?at\s?[\])])")
 
 NAMED = re.compile(r"(?i)\b(password|passwd|pwd|passphrase|token|secret|api[_-]?key|access[_-]?key|auth)\b\s{0,3}[=:]\s{0,3}[\"']?([^\s\"',;]{4,})")
 MIXED = re.compile(r"(?<![A-Za-z0-9])(?=[A-Za-z]{0,63}[0-9])(?=[0-9]{0,63}[A-Za-z])[A-Za-z0-9_-]{16,}(?![A-Za-z0-9])")

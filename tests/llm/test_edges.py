@@ -127,6 +127,13 @@ def test_pii(docs, none, spark):
     assert list(pii.emails("a" * 50_000 + "@")) == []
 
 
+@pytest.mark.parametrize("text", ["write to jane.doe (at) mail (dot) org", "jane [ AT ] mail.org", *(f"{n}: abcdefgh" for n in ("password", "PASSWD", "pwd", "passphrase", "token", "secret", "apikey", "api_key", "api-key", "access_key", "accesskey", "auth"))])
+def test_gate_lets_every_candidate_pass(text):
+    assert pii.candidates(text, []) and pii.SOME.search(text)
+    accept = [1.0] + [0.0] * (len(pii.features(text, ("secret", 0, 4), [0] * 6)) - 1)
+    assert pii.all_spans(text, accept)[1] == pii.candidates(text, [])
+
+
 def test_pages(spark):
     html = ["<nav><a href=x>Menu</a></nav><article><h1>T &amp; U</h1><p>One <b>two</b>\n three.<p>Four<div class=ad>Buy</div><section id=comments><p>Me too</section></article><footer>c</footer>", None, "", "plain text", "<p>cut off <a href='", "<script>var a='<p>x</p>'</script><p>y</p>", "<!-- <p>no</p> --><p>yes"]
     df = spark.createDataFrame([(k, None, h, 1, "t") for k, h in enumerate(html)], "page_id long, url string, html string, n_chars int, text string")
