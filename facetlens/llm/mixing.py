@@ -75,12 +75,12 @@ def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray
     """Counts of each length, at most those given, whose sum comes nearest to budget, above or below.
 
     Reachable sums are bits of one integer for each length, doubled by binary splitting of the counts. Sums beyond
-    the budget plus its shortest document can't be nearest, so that many bits suffice."""
+    twice the budget are farther from it than the empty one, so that many bits suffice."""
     out = np.zeros(len(lengths), np.int64)
     usable = [k for k in range(len(lengths)) if lengths[k] > 0 and counts[k] > 0]
     if budget <= 0 or not usable:
         return out
-    top = budget + min(int(lengths[k]) for k in usable)
+    top = 2 * budget
     mask = (1 << (top + 1)) - 1
     steps, reach = [], 1
     for k in sorted(usable, key=lambda k: -lengths[k]):

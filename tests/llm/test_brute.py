@@ -112,6 +112,21 @@ def test_knapsack_against_all_subsets():
         assert (out <= c).all() and abs((l * out).sum() - budget) == min(abs(s - budget) for s in sums)
 
 
+def test_knapsack_of_widely_spread_lengths():
+    assert mixing.knapsack(np.array([2, 1000]), np.array([1, 1]), 900).tolist() == [0, 1]
+    assert mixing.fit_counts(np.array([2, 1000]), np.array([1, 1]), 900.0)[1].tolist() == [0, 1]
+    rng = np.random.default_rng(12)
+    for _ in range(200):
+        l = np.unique((10 ** rng.uniform(0, 4, 5)).astype(np.int64))
+        c = rng.integers(0, 3, len(l))
+        budget = int(10 ** rng.uniform(0, 4))
+        sums = {0}
+        for a, n in zip(l, c):
+            sums = {s + k * int(a) for s in sums for k in range(n + 1)}
+        out = mixing.knapsack(l, c, budget)
+        assert (out <= c).all() and abs((l * out).sum() - budget) == min(abs(s - budget) for s in sums)
+
+
 def test_decontamination_equals_sql(spark, sf):
     c = duckdb.connect()
     for t in ("documents", "benchmark"):
