@@ -5,8 +5,9 @@ spans beside them (values after a credential's name, long mixed tokens, digit
 groups, addresses written out) are judged by regex, gazetteer and context
 labelers that vote personal, not personal, or abstain. Expectation-maximisation
 estimates each labeler's reliability (Dawid and Skene, two classes, no labels)
-over the candidates and base spans of a bounded sample; its posteriors train a
-logistic span classifier, which decides about every candidate of every text.
+over the candidates and base spans of all texts; its posteriors train a
+logistic span classifier on those of a bounded sample, which decides about
+every candidate of every text.
 
 Defined results: a null or empty text has no spans; overlapping candidates give
 way to base spans and to candidates that start earlier; without candidates in
@@ -31,7 +32,7 @@ from .common import only, prepare, spread
 
 KINDS = ("email", "ip", "card", "phone", "secret", "number", "address")
 BASE = KINDS[:4]
-#: Documents that EM and the classifier are fitted on at most.
+#: Documents that the classifier is fitted on at most.
 MAX_DOCS = 4000
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -127,18 +128,20 @@ def votes(text: str, span: tuple[str, int, int]) -> list[int]:
     return [shape, random, listed, plain, context, mark]
 
 
-def em(table: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
-    """Posterior of `personal` for each row of votes, and each labeler's chances of its three votes in both classes."""
+def em(table: np.ndarray, times: np.ndarray | None = None, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
+    """Posterior of `personal` for each row of votes, and each labeler's chances of its three votes in both classes. times: how often a row occurs."""
     n, k = table.shape
+    times = np.ones(n) if times is None else times.astype(float)
     post = np.clip((table.sum(axis=1) + k) / (2 * k), 0.05, 0.95)
     chance = np.zeros((k, 2, 3))
     for _ in range(rounds):
+        yes, no = times * post, times * (1 - post)
         for j in range(k):
             for v in (-1, 0, 1):
                 hit = table[:, j] == v
-                chance[j, 1, v + 1] = (post[hit].sum() + 1) / (post.sum() + 3)
-                chance[j, 0, v + 1] = ((1 - post[hit]).sum() + 1) / ((1 - post).sum() + 3)
-        prior = np.clip(post.mean(), 0.02, 0.98)
+                chance[j, 1, v + 1] = (yes[hit].sum() + 1) / (yes.sum() + 3)
+                chance[j, 0, v + 1] = (no[hit].sum() + 1) / (no.sum() + 3)
+        prior = np.clip(yes.sum() / times.sum(), 0.02, 0.98)
         odds = np.log(prior / (1 - prior)) + sum(np.log(chance[j, 1, table[:, j] + 1] / chance[j, 0, table[:, j] + 1]) for j in range(k))
         new = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
         moved = np.abs(new - post).max()
@@ -165,27 +168,49 @@ def train(x: np.ndarray, p: np.ndarray, l2: float = 1.0) -> np.ndarray:
     return w
 
 
+def judged(text: str | None) -> Iterator[tuple[tuple[str, int, int], list[int]]]:
+    """Base spans and candidates of a text with their votes."""
+    if text and SOME.search(text):
+        base = base_spans(text)
+        for s in [*base, *candidates(text, base)]:
+            yield s, votes(text, s)
+
+
+def vote_counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows of votes over all documents, in order, and how often each occurs: all that EM needs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        for b in batches:
+            seen.update(tuple(v) for text in b.column(0).to_pylist() for _, v in judged(text))
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.list_(pa.int32())), pa.array(list(seen.values()), pa.int64())], ["v", "n"])
+
+    counts = only(spread(docs), "text").mapInArrow(run, "v array<int>, n long").groupBy("v").agg(F.sum("n").alias("n"))
+    rows = sorted((tuple(r[0]), r[1]) for r in counts.collect())
+    return np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.int64)
+
+
 def fit(docs: DataFrame, max_docs: int = MAX_DOCS, seed: int = 5) -> np.ndarray | None:
-    """Weights of the span classifier, from the documents of the smallest seeded hash of their ids."""
+    """Weights of the span classifier: EM over the votes of all documents, then training on those of the smallest seeded hash of their ids."""
     prepare(docs.sparkSession)
+    table, times = vote_counts(docs)
+    if not len(table):
+        return None
+    post = dict(zip(map(tuple, table.tolist()), em(table, times)[0].tolist(), strict=True))
     few = only(docs, "doc_id").where("doc_id is not null").withColumn("h", F.xxhash64(F.col("doc_id"), F.lit(seed))).orderBy("h").limit(max_docs).select("doc_id").distinct()
     df = only(docs.join(F.broadcast(few), "doc_id", "left_semi"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for text in b.column(0).to_pylist():
-                if text and SOME.search(text):
-                    base = base_spans(text)
-                    rows += [((v := votes(text, s)), features(text, s, v)) for s in [*base, *candidates(text, base)]]
+            rows = [(v, features(text, s, v)) for text in b.column(0).to_pylist() for s, v in judged(text)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.list_(pa.float64()))], ["v", "x"])
 
     rows = sorted((tuple(r[0]), tuple(r[1])) for r in df.mapInArrow(run, "v array<int>, x array<double>").collect())
     if not rows:
         return None
-    post, _ = em(np.array([r[0] for r in rows]))
-    return train(np.array([r[1] for r in rows]), post)
+    return train(np.array([r[1] for r in rows]), np.array([post[r[0]] for r in rows]))
 
 
 def all_spans(text: str | None, weights: np.ndarray | None) -> tuple[list, list]:

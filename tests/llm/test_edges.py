@@ -1,5 +1,6 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns, for every operator and stage."""
 
+import numpy as np
 import public_tokenizers
 import pytest
 
@@ -134,6 +135,20 @@ def test_gate_lets_every_candidate_pass(text):
     assert pii.all_spans(text, accept)[1] == pii.candidates(text, [])
 
 
+def test_em_sees_all_documents(spark, monkeypatch):
+    texts = [f"mail a{k}.b@c.de, password: x{k}y9z8w7v6u5t4, page 12 34" for k in range(30)] + [None, "", "passphrase: abcdefgh"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    want = [v for t in texts for _, v in pii.judged(t)]
+    seen, inner = [], pii.em
+    monkeypatch.setattr(pii, "em", lambda table, times: seen.append((table, times)) or inner(table, times))
+    assert pii.fit(df, max_docs=2) is not None
+    table, times = seen[0]
+    assert sorted(np.repeat(table, times, axis=0).tolist()) == sorted(want)
+    post, chance = inner(table, times)
+    each, same = inner(np.array(want))
+    assert np.allclose(chance, same) and np.allclose(np.repeat(post, times), [p for _, p in sorted(zip(want, each.tolist()))])
+
+
 def test_pages(spark):
     html = ["<nav><a href=x>Menu</a></nav><article><h1>T &amp; U</h1><p>One <b>two</b>\n three.<p>Four<div class=ad>Buy</div><section id=comments><p>Me too</section></article><footer>c</footer>", None, "", "plain text", "<p>cut off <a href='", "<script>var a='<p>x</p>'</script><p>y</p>", "<!-- <p>no</p> --><p>yes"]
     df = spark.createDataFrame([(k, None, h, 1, "t") for k, h in enumerate(html)], "page_id long, url string, html string, n_chars int, text string")
