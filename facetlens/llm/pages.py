@@ -42,7 +42,9 @@ ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)\b\s*(?:=\s*(?:\"([^
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {"address", "article", "aside", "blockquote", "body", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul", "caption", "legend"}
 #: Their content is no text of the page.
-RAW = {"script", "style", "title", "textarea", "iframe", "noscript", "template", "svg", "canvas", "object", "select", "button", "math", "head"}
+RAW = {"script", "style", "title", "textarea", "iframe", "noscript", "template", "svg", "canvas", "object", "select", "button", "head"}
+#: Of these, the rest of a page that never closes them is their content; of the others it is the page's own.
+TO_THE_END = {"script", "style", "title", "textarea", "iframe"}
 CLOSED_BY_OWN_KIND = {"p", "li", "dt", "dd", "tr", "td", "th", "option"}
 BOILER = {"nav", "footer", "aside", "form", "menu", "dialog"}
 BOILER_NAMES = {"ad", "ads", "advert", "advertisement", "sponsor", "sponsored", "promo", "banner", "cookie", "cookies", "consent", "notice", "popup", "modal", "newsletter", "subscribe", "sidebar", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "footer", "comment", "comments", "respond", "disqus", "share", "sharing", "social", "related", "widget", "pagination", "pager", "login", "signup", "contentinfo", "complementary", "search", "alert", "dialog"}
@@ -65,6 +67,9 @@ def blocks_of(page: str | None) -> list[Block]:
     out: list[Block] = []
     #: name, content, boiler, number; the root is number 0
     stack: list[tuple[str, bool, bool, int]] = [("", False, False, 0)]
+    #: places in the stack of the open elements of a name
+    open_at: dict[str, list[int]] = {}
+    unclosed: set[str] = set()
     parts: list[str] = []
     links = number = 0
     anchor = 0
@@ -81,6 +86,11 @@ def blocks_of(page: str | None) -> list[Block]:
             parts.clear()
         links = 0
 
+    def close(k: int) -> None:
+        for e in stack[k:]:
+            open_at[e[0]].pop()
+        del stack[k:]
+
     at = 0
     while at < len(page):
         m = PIECE.search(page, at)
@@ -100,15 +110,16 @@ def blocks_of(page: str | None) -> list[Block]:
                 flush()
             if name == "a":
                 anchor = max(0, anchor - 1)
-            k = next((i for i in range(len(stack) - 1, max(0, len(stack) - 200), -1) if stack[i][0] == name), 0)
-            if k:
-                del stack[k:]
+            if open_at.get(name):
+                close(open_at[name][-1])
             continue
         if name == "br":
             parts.append(" ")
-        if name in RAW and name != "head":
-            end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-            if not m[0].endswith("/>"):
+        if name in RAW and name != "head":  # one of the others that is never closed holds nothing back
+            end = None if name in unclosed else re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
+            if not end:  # nor has any later one of the name
+                unclosed.add(name)
+            if not m[0].endswith("/>") and (end or name in TO_THE_END):
                 at = end.end() if end else len(page)
             if name in BLOCK:
                 flush()
@@ -118,11 +129,9 @@ def blocks_of(page: str | None) -> list[Block]:
             if name in CLOSED_BY_OWN_KIND:
                 k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name or stack[i][0] in ("ul", "ol", "dl", "table", "div", "article", "section", "body")), 0)
                 if k and stack[k][0] == name:
-                    del stack[k:]
-            else:
-                k = next((i for i in range(len(stack) - 1, max(0, len(stack) - 8), -1) if stack[i][0] == "p"), 0)
-                if k:
-                    del stack[k:]
+                    close(k)
+            elif open_at.get("p"):
+                close(open_at["p"][-1])
         if name in VOID or m[0].endswith("/>"):
             continue
         if name == "a":
@@ -134,6 +143,7 @@ def blocks_of(page: str | None) -> list[Block]:
         boiler = above[2] or name in BOILER or name == "header" and not above[1] or bool(words & BOILER_NAMES) and name not in CONTENT | {"body", "html"}
         boiler |= "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "")
         number += 1
+        open_at.setdefault(name, []).append(len(stack))
         stack.append((name, content, boiler, number))
     flush()
     return out

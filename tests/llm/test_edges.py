@@ -158,6 +158,21 @@ def test_pages(spark):
     assert rows(pages.extract(df.limit(0))) == []
 
 
+def test_pages_of_tag_soup():
+    soup = "".join(f"<b>x{k}" for k in range(300))
+    for page in (f"<nav>{soup}</nav><article><p>Kept text.</article>", "<article><p>Kept text.<button>More</article>"):
+        own = pages.blocks_of(page)[-1]
+        assert own.text.startswith("Kept text.") or own.text == "More"
+        assert own.content and not own.boiler
+    for name in ("button", "select", "svg", "math", "object", "noscript"):
+        assert "after" in " ".join(b.text for b in pages.blocks_of(f"<article><p>a<{name}>b<p>after</article>"))
+    for name in ("script", "style", "title", "textarea", "iframe"):
+        assert "after" not in " ".join(b.text for b in pages.blocks_of(f"<article><p>a<{name}>b<p>after</article>"))
+    assert pages.blocks_of("<article><p>let <math><mi>x</mi></math> be")[0].text == "let x be"
+    deep = "<div>" + "<i>" * 20
+    assert [b.depth for b in pages.blocks_of(f"<p>{'<i>' * 20}one<div>two")] == [22, 2] and pages.blocks_of(deep + "x")[0].text == "x"
+
+
 def test_neardup(docs, none):
     got = {r.doc_id: r for r in rows(neardup.components(docs))}
     assert (got[4].component_id, got[5].component_id, got[6].component_id) == (4, 4, 4)
