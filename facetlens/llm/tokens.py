@@ -21,6 +21,7 @@ gives no files; further columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -30,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,10 +39,15 @@ from .common import new_path, only, parallel, prepare, spread, written
 
 MAGIC = b"FLTOKENS"
 END = 0
-#: Words whose ids a worker remembers before it starts afresh.
-REMEMBERED = 500_000
-#: Where chunks cut at single spaces could differ from the whole text: white space side by side, or special tokens.
-UNSAFE = re.compile(r"\s\s|<\|")
+#: Words whose ids a worker remembers before it starts afresh; only words that occur REMEMBER_FROM times in a chunk are.
+REMEMBERED, REMEMBER_FROM = 200_000, 4
+#: Bytes of text whose distinct words are looked up at once, and words that are put together at once.
+CHUNK, SPAN = 24 << 20, 1 << 20
+#: Stands before a unit that no space precedes.
+MARK = "\x01"
+#: A Latin letter before ASCII punctuation other than an apostrophe. White space beyond single spaces and up to two line ends between other characters: such texts are encoded whole.
+LETTER_END = "([A-Za-z\\x{c0}-\\x{d6}\\x{d8}-\\x{f6}\\x{f8}-\\x{24f}])([!-&(-/:-@\\[-`{-~])"
+ODD = "[ ][ \n]|\n |\n\n\n|[ \n]$|[\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{180e}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]|" + MARK
 
 
 def masked(data: bytes) -> int:
@@ -70,8 +77,11 @@ def unframe(take) -> bytes | None:
 class Encoder:
     """Ids of texts by a tokenizer file of the tokenizers library.
 
-    Byte-level pre-tokenisation always cuts between a character that isn't white space and a space before another such
-    character, so words with their leading space have ids of their own: each distinct word goes through the library once."""
+    Byte-level pre-tokenisation cuts before a single space between other characters, around a line end between such, and
+    between a Latin letter and ASCII punctuation behind it. So a text falls into units there, and the ids of a unit don't
+    depend on what stands around it: each distinct unit of a chunk goes through the library once, and the texts are put
+    together from the units' ids by array indexing. Texts with other white space or with added tokens are encoded whole, as
+    all texts are if the tokenizer isn't byte-level of this kind."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -79,54 +89,121 @@ class Encoder:
 
         self.model = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.model.get_vocab_size() <= 1 << 16 else "<u4")
-        self.spaced = np.zeros(self.model.get_vocab_size(), bool)
-        self.spaced[[k for t, k in self.model.get_vocab().items() if t.startswith("\u0120")]] = True  # the byte-level sign of a space
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
-
-    def library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def batch(self, texts: list[str | None], span: int = 256) -> Iterator[bytes]:
-        for k in range(0, len(texts), span):
-            yield from self._some([t or "" for t in texts[k : k + span]])
-
-    def words(self, words: list[str]) -> list[bytes]:
-        """Ids of each word with a space before it. They go through the library as one text; only a word's first token starts with the space, and where that doesn't hold each goes on its own."""
-        ids = np.array(self.model.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, self.kind)
-        cut = np.flatnonzero(self.spaced[ids])
-        if len(cut) != len(words):
-            return self.library([" " + w for w in words])
-        at = (cut * self.kind.itemsize).tolist()
-        raw = ids.tobytes()
-        return [raw[i:j] for i, j in zip(at, [*at[1:], len(raw)], strict=True)]
-
-    def _some(self, texts: list[str]) -> list[bytes]:
-        cut = [None if UNSAFE.search(t) else t.split(" ") for t in texts]
-        if len(self.first) + len(self.later) > REMEMBERED:
-            self.first, self.later = {}, {}
-        heads = list({c[0] for c in cut if c} - self.first.keys())
-        self.first.update(zip(heads, self.library(heads), strict=True))
-        tails = [w for c in cut if c for w in c[1:]]
-        known = list(map(self.later.get, tails))
-        new = list({w for w, ids in zip(tails, known, strict=True) if ids is None})
-        if new:
-            full = [w for w in new if w]  # a space at the end of a text leaves an empty word
-            for k in range(0, len(full), 4096):
-                some = full[k : k + 4096]
-                self.later.update(zip(some, self.words(some), strict=True))
-            if len(full) < len(new):
-                self.later[""] = self.library([" "])[0]
-            known = list(map(self.later.__getitem__, tails))
-        whole = iter(self.library([t for t, c in zip(texts, cut, strict=True) if c is None]))
-        out, at = [], 0
-        for c in cut:
-            if c is None:
-                out.append(next(whole))
-                continue
-            out.append(self.first[c[0]] + b"".join(known[at : at + len(c) - 1]))
-            at += len(c) - 1
-        return out
+        spec = json.loads(self.model.to_str())
+        cutter = spec.get("pre_tokenizer") or {}
+        self.by_units = cutter.get("type") == "ByteLevel" and not cutter.get("add_prefix_space") and cutter.get("use_regex", True) and not spec.get("normalizer") and not spec["model"].get("dropout") and not spec["model"].get("ignore_merges") and not spec.get("truncation") and not spec.get("padding")
+        vocab = self.model.get_vocab()
+        self.spaced = np.zeros(max(vocab.values()) + 1, bool)
+        self.spaced[[k for t, k in vocab.items() if t.startswith("\u0120")]] = True  # the byte-level sign of a space
+        self.line = vocab.get("\u010a", -1)
+        self.by_units = bool(self.by_units) and self.line >= 0
+        self.odd = "|".join([ODD, *(re.sub(r"([^0-9A-Za-z])", r"\\\1", t["content"]) for t in spec.get("added_tokens") or [] if t["content"])])
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.at, self.size, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.kind)
+
+    def library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.kind) for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def batch(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        """The ids of each text."""
+        texts = [t or "" for t in texts]
+        size = np.cumsum([0, *map(len, texts)])
+        a = 0
+        while a < len(texts):
+            b = max(a + 1, int(np.searchsorted(size, size[a] + CHUNK, side="right")) - 1)
+            yield from self._some(texts[a:b])
+            a = b
+
+    def _several(self, units: list[str], space: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the units, one after another, and how many each has. They go through the library as one text, in which only a unit's first id starts with the space, or a line end follows each unit; where that doesn't hold each goes on its own."""
+        if space:
+            ids = np.array(self.model.encode_batch_fast([" " + " ".join(units)], add_special_tokens=False)[0].ids, self.kind)
+            cut = np.flatnonzero(self.spaced[ids])
+            if len(cut) == len(units) and not cut[0]:
+                return ids, np.diff(np.append(cut, len(ids)))
+        else:
+            ids = np.array(self.model.encode_batch_fast(["\n".join(units) + "\n"], add_special_tokens=False)[0].ids, self.kind)
+            cut = np.flatnonzero(ids == self.line)
+            if len(cut) == len(units):
+                return np.delete(ids, cut), np.diff(np.concatenate([[-1], cut])) - 1
+        own = self.library([" " + u if space else u for u in units])
+        return np.concatenate(own), np.array([len(x) for x in own])
+
+    def _units(self, units: list[str], count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(pool, at, size): the ids of units[k] are pool[at[k] : at[k] + size[k]]. A unit starts with MARK if no space precedes it."""
+        get = self.known.get
+        place = np.array([get(u, -1) for u in units], np.int64)
+        new = np.flatnonzero(place < 0)
+        at, size = np.zeros(len(units), np.int64), np.zeros(len(units), np.int64)
+        old = place >= 0
+        at[old], size[old] = self.at[place[old]], self.size[place[old]]
+        parts, end = [self.pool], len(self.pool)
+        plain, marked = [], []
+        for k in new.tolist():
+            u = units[k]
+            (marked if u[:1] == MARK else plain).append(k)
+        for space, rows in ((True, plain), (False, marked)):
+            text = [units[k] if space else units[k][1:] for k in rows]
+            for k in [k for k, t in zip(rows, text, strict=True) if not t or t == "\n"]:  # a space or a line end by itself, or nothing
+                ids = self.library([" " + units[k] if space else units[k][1:]])[0]
+                parts.append(ids)
+                at[k], size[k], end = end, len(ids), end + len(ids)
+            rows = [k for k, t in zip(rows, text, strict=True) if t and t != "\n"]
+            for j in range(0, len(rows), 2048):
+                some = rows[j : j + 2048]
+                ids, n = self._several([units[k] if space else units[k][1:] for k in some], space)
+                parts.append(ids)
+                size[some] = n
+                at[some] = end + np.cumsum(n) - n
+                end += len(ids)
+        pool = np.concatenate(parts)
+        often = new[count[new] >= REMEMBER_FROM]
+        if len(often):
+            if len(self.known) + len(often) > REMEMBERED:
+                self._forget()
+                often = often[:REMEMBERED]
+            first = len(self.pool)
+            n = size[often]
+            start = np.cumsum(n) - n
+            self.pool = np.concatenate([self.pool, pool[np.repeat(at[often] - start, n) + np.arange(n.sum())]])
+            self.known.update(zip([units[k] for k in often.tolist()], range(len(self.at), len(self.at) + len(often)), strict=True))
+            self.at, self.size = np.concatenate([self.at, first + start]), np.concatenate([self.size, n])
+        return pool, at, size
+
+    def _some(self, texts: list[str]) -> Iterator[np.ndarray]:
+        if not self.by_units:
+            yield from self.library(texts)
+            return
+        try:
+            column = pa.array(texts, pa.large_string())
+        except UnicodeEncodeError:  # half a surrogate pair, which the library takes as it may
+            yield from self.library(texts)
+            return
+        whole = pc.match_substring_regex(column, self.odd).to_numpy(zero_copy_only=False)
+        if whole.any():
+            column = pc.if_else(pa.array(whole), pa.scalar("", pa.large_string()), column)
+        column = pc.replace_substring(column, "\n", f" {MARK}\n {MARK}")
+        column = pc.replace_substring_regex(column, LETTER_END, f"\\1 {MARK}\\2")
+        lists = pc.split_pattern(pc.binary_join_element_wise(pa.scalar(MARK, pa.large_string()), column, pa.scalar("", pa.large_string())), " ")
+        code = lists.values.dictionary_encode()
+        index = code.indices.to_numpy()
+        units = code.dictionary.to_pylist()
+        pool, at, size = self._units(units, np.bincount(index, minlength=len(units)))
+        ends = lists.offsets.to_numpy().astype(np.int64)
+        k = 0
+        while k < len(texts):
+            j = max(k + 1, int(np.searchsorted(ends, ends[k] + SPAN, side="right")) - 1)
+            own = index[ends[k] : ends[j]]
+            n = size[own]
+            stop = np.cumsum(n)
+            ids = pool[np.repeat(at[own] - (stop - n), n) + np.arange(stop[-1] if len(stop) else 0)]
+            cut = np.concatenate([[0], stop])[ends[k : j + 1] - ends[k]].tolist()
+            for i in range(k, j):
+                yield self.library([texts[i]])[0] if whole[i] else ids[cut[i - k] : cut[i - k + 1]]
+            k = j
 
 
 _encoders: dict[str, Encoder] = {}
@@ -154,25 +231,43 @@ def write_records(docs: DataFrame, tokenizer: str, folder: str | None = None, en
     df = only(spread(docs), "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     n = parallel(spark)
     # Boundaries come from the ids alone: a range partitioning would encode every text twice to draw its sample.
-    bounds = df.agg(F.percentile_approx("doc_id", F.array(*[F.lit(k / n) for k in range(1, n)]) if n > 1 else F.array(F.lit(0.5)), 10_000)).first()[0] or []
-    bounds = sorted(set(bounds))
+    cut = F.percentile_approx("doc_id", F.array(*[F.lit(k / n) for k in range(1, n)]) if n > 1 else F.array(F.lit(0.5)), 10_000)
+    bounds, rows_in, rows_known = df.agg(cut, F.count("*"), F.count("doc_id")).first()
+    cuts = np.array(sorted(bounds or []), np.int64)
+    # An id that is several boundaries has a shard for each, and rows without id have their share; checksums deal them out.
+    unknown = -(-(rows_in - rows_known) * n // max(1, rows_in))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = encoder(tokenizer)
         pack = zstandard.ZstdCompressor(level=1)
         tail = np.array([end], made.kind).tobytes()
-        cuts = np.array(bounds, np.int64)
         for b in batches:
-            texts = b.column(1).to_pylist()
-            keys = b.column(0).to_pylist()
-            for k in range(0, len(texts), 512):
-                ids = [x + tail for x in made.batch(texts[k : k + 512])]
-                some = keys[k : k + 512]
-                to = [0 if d is None else int(np.searchsorted(cuts, d, side="left")) for d in some]
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(to, pa.int32()), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array([pack.compress(x) for x in ids], pa.binary())], ["doc_id", "shard", "crc", "ids"])
+            keys = b.column(0)
+            known = keys.fill_null(0).to_numpy()
+            low, high = np.searchsorted(cuts, known, side="left") + unknown, np.searchsorted(cuts, known, side="right") + unknown
+            empty = keys.is_null().to_numpy(zero_copy_only=False)
+            low[empty], high[empty] = 0, max(0, unknown - 1)
+            crc, ids = [], []
+
+            def out(at: int) -> pa.RecordBatch:
+                own = slice(at - len(ids), at)
+                check = np.array(crc, np.int64)
+                to = low[own] + (check * np.maximum(1, high[own] - low[own] + empty[own]) >> 32)
+                return pa.RecordBatch.from_arrays([keys[own.start : own.stop], pa.array(to.astype(np.int32)), pa.array(check), pa.array(ids, pa.binary())], ["doc_id", "shard", "crc", "ids"])
+
+            k = 0
+            for k, x in enumerate(made.batch(b.column(1).to_pylist()), 1):
+                raw = x.tobytes() + tail
+                crc.append(zlib.crc32(raw))
+                ids.append(pack.compress(raw))
+                if len(ids) >= 512:
+                    yield out(k)
+                    crc, ids = [], []
+            if ids:
+                yield out(k)
 
     rows = df.mapInArrow(encode, "doc_id long, shard int, crc long, ids binary")
-    rows = rows.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "crc")
+    rows = rows.repartitionById(len(cuts) + 1 + unknown, F.col("shard")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "crc")
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = encoder(tokenizer)

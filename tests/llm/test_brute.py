@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 
 import corpus_pipeline
-from facetlens.llm import mixing, neardup, pages, quality, sharding
+from facetlens.llm import mixing, neardup, pages, quality, sharding, tokens
 from facetlens.llm.queries import QUERIES, SQL
 from facetlens.llm.shingles import shingle_set
 from facetlens.llm.suffix_dedup import Family, sliding_min
@@ -39,6 +39,16 @@ def test_tokens(spark, sf, texts):
         start += len(ids)
 
 
+PIECES = ["a", "b", "The", "'s", "'re", " ", "  ", "\n", "\n\n", "\t", ".", ",", "!", "\u2026", "\u00e9", "\u65e5\u672c", "1", "23", "\u00a0", "\x01", "<|endoftext|>", "<|", "\u3000", "\r\n", "'", "-", "\x1f", "\u200b", "\U0001f600", "x.", " \n", "\u00df", "$$$", "(", "\u00ff", "\u00d7", "\u024f", "\u0250"]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_units_give_the_ids_of_whole_texts(name):
+    made, rng = tokens.Encoder(public_tokenizers.path(name)), np.random.default_rng(8)
+    some = ["".join(rng.choice(PIECES if rng.random() < 0.3 else ["foo", "bar", " ", "a", ".", "\n", ","]) for _ in range(rng.integers(0, 25))) for _ in range(4000)]
+    assert [x.tolist() for x in made.batch(some)] == [x.tolist() for x in made.library(some)]
+
+
 def test_suffix(spark, sf, texts):
     have, raw = got(spark, sf, "op2_suffix"), {d: (x or "").encode() for d, x in texts.items()}
     count = Counter(b[i : i + 200] for b in raw.values() for i in range(len(b) - 199))

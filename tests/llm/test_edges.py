@@ -54,6 +54,14 @@ def test_tokens(spark, docs, none):
     assert rows(tokens.read_records(tokens.write_records(none, path))) == []
 
 
+def test_hot_ids_are_dealt_over_several_shards(spark):
+    data = [(None, f"no id {k}") for k in range(60)] + [(5, f"five {k}") for k in range(60)] + [(k, f"t {k}") for k in range(6, 66)]
+    files = tokens.write_records(spark.createDataFrame(data, "doc_id long, text string"), public_tokenizers.path("byte_bpe_50k.json"))
+    assert max(r.n_records for r in rows(files)) < 50
+    got = sorted(rows(tokens.read_records(files)), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [r[0] for r in data]
+
+
 def test_corrupt_record_is_seen(tmp_path):
     p = tmp_path / "x.rec"
     data = bytearray(tokens.MAGIC + b"\x02" + tokens.frame(b"\x01" + bytes(8) + b"\x05\x00"))
