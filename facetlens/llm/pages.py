@@ -1,18 +1,21 @@
 """Main text of web pages by minimum-cut labelling.
 
-A page is cut into blocks. Each block's classifier costs are the capacities of
-its edges to the two terminals; blocks that follow each other, or that follow
-each other under one parent, are joined by smoothness edges whose capacity
-falls with their distance in the document tree. The maximum flow separates
-content from boilerplate; content blocks are the main text.
-
-The cost is a structural prior (inside an article or main element; inside a
-menu, footer, sidebar, form, notice, advert or comment section) plus the
-log-odds of a logistic model over the block's text, fitted on the blocks of at
-most `MAX_PAGES` pages whose structure is unambiguous.
-
-Defined results: null, empty or markup-free pages are treated alike (their text
-is one block; null has none); unclosed and stray tags, cut-off pages, broken
+A page is cut into blocks. Each block's costs are the capacities of its edges to
+the two terminals; blocks that follow each other, or that follow each other
+under one parent, are joined by smoothness edges whose capacity falls with
+their distance in the document tree. The maximum flow separates content from
+boilerplate; content blocks are the main text.
+
+A block's cost is what its place speaks for plus the log-odds of a logistic
+model over its text, fitted on the blocks of at most `MAX_PAGES` pages whose
+place is beyond doubt. Places are graded: inside an article or a menu is strong
+evidence, a class name of which only a part speaks of boilerplate is weak, and
+some places say nothing. Even strong evidence for boilerplate is less than text
+and neighbours can outweigh; weak and absent evidence leaves it to them.
+
+Defined results: a null or empty page has no text; a page without markup is one
+block and is kept; where nothing would be left, the block that most speaks for
+content stays with what the cut joins to it, unless all are beyond doubt; unclosed and stray tags, cut-off pages, broken
 references and repeated rows are read as they stand; an empty table gives an
 empty result; further columns are ignored.
 """
@@ -34,11 +37,16 @@ from .common import only, prepare, spread
 
 #: Pages that the text model is fitted on at most.
 MAX_PAGES = 600
-#: What speaks for a block that stands in neither an article nor boilerplate.
-NEUTRAL = 1.0
-
-PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)\b\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+#: What a place speaks for: an article; boilerplate; boilerplate by a part of a name; nothing known; an article in a named boilerplate.
+SURE, BOILER_SURE, BOILER_MAYBE, NEUTRAL, NESTED = 6.0, -6.0, -1.0, 0.5, -1.0
+#: Never shown.
+HIDDEN = -1000.0
+#: Bounds of the text's log-odds; capacity between siblings and between others that follow each other.
+LOW, HIGH, SIBLINGS, FOLLOW = -3.0, 4.0, 1.2, 0.6
+
+# A closing quote is one that a space, a slash or the tag's end follows; a tag whose quotes don't close ends at its first ">".
+PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)(?:((?:[^>\"']|\"[^\"]*\"(?=[\s/>])|'[^']*'(?=[\s/>]))*)>|([^>]*)(?:>|\Z))", re.S)
+ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {"address", "article", "aside", "blockquote", "body", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul", "caption", "legend"}
 #: Their content is no text of the page.
@@ -47,26 +55,73 @@ RAW = {"script", "style", "title", "textarea", "iframe", "noscript", "template",
 TO_THE_END = {"script", "style", "title", "textarea", "iframe"}
 CLOSED_BY_OWN_KIND = {"p", "li", "dt", "dd", "tr", "td", "th", "option"}
 BOILER = {"nav", "footer", "aside", "form", "menu", "dialog"}
-BOILER_NAMES = {"ad", "ads", "advert", "advertisement", "sponsor", "sponsored", "promo", "banner", "cookie", "cookies", "consent", "notice", "popup", "modal", "newsletter", "subscribe", "sidebar", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "footer", "comment", "comments", "respond", "disqus", "share", "sharing", "social", "related", "widget", "pagination", "pager", "login", "signup", "contentinfo", "complementary", "search", "alert", "dialog"}
+BOILER_NAMES = {"ad", "ads", "advert", "advertisement", "sponsor", "sponsored", "promo", "banner", "cookie", "cookies", "consent", "notice", "popup", "modal", "newsletter", "subscribe", "sidebar", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "footer", "share", "sharing", "social", "related", "pagination", "pager", "login", "signup", "contentinfo", "complementary", "search", "alert", "dialog"}
+COMMENT_NAMES = {"comment", "comments", "respond", "disqus", "replies"}
 CONTENT = {"article", "main"}
 CONTENT_NAMES = {"article", "main", "post", "entry", "story"}
+#: Parts of a class name that say where or what kind of box, not what is in it.
+BOX_NAMES = {"section", "list", "item", "items", "box", "wrap", "wrapper", "container", "area", "block", "panel", "bar", "inner", "outer", "content", "body", "title", "heading", "text", "form", "link", "links", "button", "buttons", "icons", "group", "row", "col", "column", "top", "bottom", "left", "right", "site", "page", "global", "primary", "secondary", "slot", "unit", "widget", "thread", "count", "right-rail", "news", "posts", "articles", "media", "message"}
+#: Parts that make a name speak of a state of the page rather than of its content.
+STATE_NAMES = {"no", "not", "non", "without", "with", "has", "off", "on", "closed", "open", "disabled", "enabled", "none", "is"}
 
 
 @dataclass
 class Block:
     text: str
-    content: bool
-    boiler: bool
+    place: float
     links: int
     heading: bool
     parent: int
     depth: int
 
 
+def named(tokens: list[str]) -> tuple[float, bool]:
+    """What class names, an id or a role speak for (0: nothing), and whether they speak of readers' comments."""
+    best, comments = 0.0, False
+    for token in tokens:
+        parts = [x for x in re.split(r"[^a-z]+", token) if x]
+        said = set(parts)
+        if not parts or said & STATE_NAMES:
+            continue
+        if said & COMMENT_NAMES and not said - COMMENT_NAMES - BOILER_NAMES - CONTENT_NAMES - BOX_NAMES:
+            comments = True
+            best = BOILER_SURE
+        elif said & (BOILER_NAMES | COMMENT_NAMES):
+            sure = not said - BOILER_NAMES - COMMENT_NAMES - CONTENT_NAMES - BOX_NAMES
+            best = min(best, BOILER_SURE if sure else BOILER_MAYBE)
+        elif said & CONTENT_NAMES and not said - CONTENT_NAMES - BOX_NAMES and best >= 0:
+            best = SURE
+    return best, comments
+
+
+def placed(name: str, raw: str | None, above: tuple[float, str]) -> tuple[float, str]:
+    """What an element's place speaks for, and by what: "tag", "name" or, for good, "stay"."""
+    attrs: dict[str, str] = {}
+    for a in ATTR.finditer(raw) if raw else ():
+        attrs.setdefault(a[1].lower(), a[2] or a[3] or a[4] or "")
+    place, why = above
+    if place == HIDDEN or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower():
+        return HIDDEN, "stay"
+    if why == "stay":
+        return above
+    if name in BOILER or name == "header" and place < SURE:
+        return BOILER_SURE, "form" if name == "form" else "stay" if place < SURE else "tag"
+    by_name, comments = named(f"{attrs.get('class', '')} {attrs.get('id', '')} {attrs.get('role', '')}".lower().split()) if attrs and name not in ("body", "html") else (0.0, False)
+    if comments:
+        return BOILER_SURE, "stay"
+    if by_name < 0:
+        return (min(by_name, place) if place < 0 else by_name), "name"
+    if name in CONTENT or by_name > 0:
+        if place >= 0 or why == "form":
+            return SURE, "tag"
+        return (NESTED, "name") if name in CONTENT and why == "name" else above
+    return above
+
+
 def blocks_of(page: str | None) -> list[Block]:
     out: list[Block] = []
-    #: name, content, boiler, number; the root is number 0
-    stack: list[tuple[str, bool, bool, int]] = [("", False, False, 0)]
+    #: name, place, number; the root is number 0
+    stack: list[tuple[str, tuple[float, str], int]] = [("", (NEUTRAL, ""), 0)]
     #: places in the stack of the open elements of a name
     open_at: dict[str, list[int]] = {}
     unclosed: set[str] = set()
@@ -82,7 +137,7 @@ def blocks_of(page: str | None) -> list[Block]:
             if text:
                 holder = next((e for e in reversed(stack) if e[0] in BLOCK or not e[0]), stack[0])
                 up = stack[max(0, stack.index(holder) - 1)]
-                out.append(Block(text, holder[1], holder[2] or stack[-1][2], links, holder[0] in ("h1", "h2", "h3", "h4", "h5", "h6"), up[3], len(stack)))
+                out.append(Block(text, min(holder[1][0], stack[-1][1][0]), links, holder[0] in ("h1", "h2", "h3", "h4", "h5", "h6"), up[2], len(stack)))
             parts.clear()
         links = 0
 
@@ -136,15 +191,10 @@ def blocks_of(page: str | None) -> list[Block]:
             continue
         if name == "a":
             anchor += 1
-        attrs = {a[1].lower(): a[2] or a[3] or a[4] or "" for a in ATTR.finditer(m[3])} if m[3] else {}
-        words = set(re.split(r"[^a-z]+", f"{attrs.get('class', '')} {attrs.get('id', '')} {attrs.get('role', '')}".lower()))
-        above = stack[-1]
-        content = above[1] or name in CONTENT or bool(words & CONTENT_NAMES)
-        boiler = above[2] or name in BOILER or name == "header" and not above[1] or bool(words & BOILER_NAMES) and name not in CONTENT | {"body", "html"}
-        boiler |= "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "")
+        place = placed(name, m[3] or m[4], stack[-1][1])
         number += 1
         open_at.setdefault(name, []).append(len(stack))
-        stack.append((name, content, boiler, number))
+        stack.append((name, place, number))
     flush()
     return out
 
@@ -229,21 +279,29 @@ def cut(score: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
                     cap[e ^ 1] += flow
 
 
-def main_blocks(blocks: list[Block], weights: np.ndarray, prior: float = 6.0, smooth: float = 0.8) -> list[Block]:
-    if not blocks:
+def main_blocks(blocks: list[Block], weights: np.ndarray) -> list[Block]:
+    """The blocks on the content side of the minimum cut."""
+    shown = [b for b in blocks if b.place != HIDDEN]
+    if not shown:
         return []
-    own = np.array([text_features(b) for b in blocks]) @ weights
-    score = [float(np.clip(s, -3, 3)) + (-prior if b.boiler else prior if b.content else NEUTRAL) for s, b in zip(own, blocks, strict=True)]
+    own = np.array([text_features(b) for b in shown]) @ weights
+    score = [float(np.clip(s, LOW, HIGH)) + b.place for s, b in zip(own, shown, strict=True)]
     edges, last = [], {}
-    for k, b in enumerate(blocks):
+    for k, b in enumerate(shown):
         before = last.get(b.parent)
         if k and before != k - 1:
-            edges.append((k - 1, k, smooth / (2 + abs(b.depth - blocks[k - 1].depth))))
+            edges.append((k - 1, k, FOLLOW / (2 + abs(b.depth - shown[k - 1].depth))))
         if before is not None:
-            edges.append((before, k, smooth))
+            edges.append((before, k, SIBLINGS))
         last[b.parent] = k
     side = cut(score, edges)
-    return [b for b, s in zip(blocks, side, strict=True) if s]
+    if not any(side):
+        open_ = [k for k, b in enumerate(shown) if b.place > BOILER_SURE]
+        if not open_:
+            return []
+        score[max(open_, key=lambda k: score[k])] = -HIDDEN
+        side = cut(score, edges)
+    return [b for b, s in zip(shown, side, strict=True) if s]
 
 
 def main_text(page: str | None, weights: np.ndarray) -> str:
@@ -258,7 +316,7 @@ def fit(pages: DataFrame, max_pages: int = MAX_PAGES, seed: int = 3) -> np.ndarr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(text_features(x), int(x.content and not x.boiler)) for page in b.column(0).to_pylist() for x in blocks_of(page) if x.content or x.boiler]
+            rows = [(text_features(x), int(x.place == SURE)) for page in b.column(0).to_pylist() for x in blocks_of(page) if x.place in (SURE, BOILER_SURE)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.list_(pa.float64())), pa.array([r[1] for r in rows], pa.int32())], ["x", "y"])
 

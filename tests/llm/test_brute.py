@@ -180,6 +180,41 @@ def test_pages(spark, sf):
         assert (have[p]["text"], have[p]["n_chars"]) == (text, len(text))
 
 
+def held_out_pages(sf):
+    """Weights fitted on pages of other ids, and pages to look at: (html, main text)."""
+    from html import unescape
+
+    rows = duckdb.sql(f"SELECT page_id, html FROM '{sf}/pages.parquet' ORDER BY page_id").fetchall()
+    seen = [(pages.text_features(b), int(b.place == pages.SURE)) for p, h in rows if p % 2 for b in pages.blocks_of(h) if b.place in (pages.SURE, pages.BOILER_SURE)]
+    clean = lambda b: " ".join(unescape(re.sub(r"<[^>]*>", " ", b)).split())
+    return pages.fit_weights(seen), [(h, [x for b in re.split(r"</?(?:h1|p)>", re.search(r"<article>(.*?)</article>", h, re.S)[1]) if (x := clean(b))]) for p, h in rows if not p % 2]
+
+
+def test_cut_overrules_misleading_names(sf):
+    weights, some = held_out_pages(sf)
+    right = flipped = total = flags = 0
+    for h, want in some:
+        h = h.replace("<article>", '<div class="related-work">').replace("</article>", "</div>")
+        blocks = pages.blocks_of(h)
+        got = pages.main_blocks(blocks, weights)
+        own = [np.clip(np.dot(pages.text_features(b), weights), pages.LOW, pages.HIGH) + b.place > 0 for b in blocks]
+        flipped += sum((b in got) != o for b, o in zip(blocks, own))
+        right += sum((b in got) == (b.text in want) for b in blocks)
+        flags += sum((b.place > 0) == (b.text in want) for b in blocks)
+        total += len(blocks)
+    assert flipped > 0 and right > 0.95 * total > flags
+
+
+def test_adverts_inside_articles_go(sf):
+    weights, some = held_out_pages(sf)
+    for h, want in some:
+        ad = re.search(r'<div class="ad">.*?</div>', h, re.S)[0]
+        h = h.replace(ad, "", 1)
+        k = [m.end() for m in re.finditer("</p>", h[: h.index("</article>")])]
+        at = k[len(k) // 2] if k else h.index("</article>")
+        assert pages.main_text(h[:at] + ad + h[at:], weights).split("\n") == want
+
+
 def test_minimum_cut_against_all_labellings():
     rng = np.random.default_rng(3)
     for _ in range(60):

@@ -171,7 +171,7 @@ def test_pages_of_tag_soup():
     for page in (f"<nav>{soup}</nav><article><p>Kept text.</article>", "<article><p>Kept text.<button>More</article>"):
         own = pages.blocks_of(page)[-1]
         assert own.text.startswith("Kept text.") or own.text == "More"
-        assert own.content and not own.boiler
+        assert own.place == pages.SURE
     for name in ("button", "select", "svg", "math", "object", "noscript"):
         assert "after" in " ".join(b.text for b in pages.blocks_of(f"<article><p>a<{name}>b<p>after</article>"))
     for name in ("script", "style", "title", "textarea", "iframe"):
@@ -181,6 +181,35 @@ def test_pages_of_tag_soup():
     assert [b.depth for b in pages.blocks_of(f"<p>{'<i>' * 20}one<div>two")] == [22, 2] and pages.blocks_of(deep + "x")[0].text == "x"
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ('<div title="hidden gems"><article><p>A</article>', "A"),
+        ('<article data-id="menu"><p>A', "A"),
+        ('<p class="a>text</p><p class="b">two</p>', "text\ntwo"),
+        ('<p class="a>end of it', "end of it"),
+        ('<div class="post-comments-off"><article><p>A</p></article></div>', "A"),
+        ("plain text only", "plain text only"),
+        ("<div id=comments><article><p>c</article></div><article><p>A</article>", "A"),
+        ("<form><article><p>A</article></form>", "A"),
+        ("<article><header><h1>T</h1></header><p>A<aside>no</aside><footer>no</footer></article>", "T\nA"),
+        ('<p title="x <b> y">z</p>', "z"),
+        ('<article><p>A</p><div class="ad-banner">x</div><div hidden>y</div><p style="DISPLAY: none">z</p><p>B</p></article>', "A\nB"),
+        ("<nav>" + "<b>" * 5000 + "</nav><article><p>A</article>", "A"),
+        ("<nav><a>x</a></nav>", ""),
+    ],
+)
+def test_places_of_blocks(html, text):
+    assert pages.main_text(html, np.zeros(7)) == text
+
+
+def test_long_and_repeated_pages(spark):
+    long = "<article>" + "".join(f"<p>Paragraph number {k}, as it stands.</p>" for k in range(20_000)) + "</article>"
+    df = spark.createDataFrame([(1, "u", long), (1, "u", long), (None, None, "<p>x")], "page_id long, url string, html string")
+    got = sorted(rows(pages.extract(df)), key=lambda r: r.n_chars)
+    assert [r.text.count("\n") for r in got] == [0, 19_999, 19_999] and got[0].page_id is None
+
+
 def test_neardup(docs, none):
     got = {r.doc_id: r for r in rows(neardup.components(docs))}
     assert (got[4].component_id, got[5].component_id, got[6].component_id) == (4, 4, 4)
