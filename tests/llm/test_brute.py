@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 
 import corpus_pipeline
-from facetlens.llm import mixing, neardup, pages, quality, sharding, tokens
+from facetlens.llm import mixing, neardup, pages, pii, quality, sharding, tokens
 from facetlens.llm.queries import QUERIES, SQL
 from facetlens.llm.shingles import shingle_set
 from facetlens.llm.suffix_dedup import Family, sliding_min
@@ -180,6 +180,40 @@ def test_pages(spark, sf):
         assert (have[p]["text"], have[p]["n_chars"]) == (text, len(text))
 
 
+def by_the_letter(text):
+    """Base spans straight from the rules."""
+    out = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [("ip", m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = [int(c) for c in m[0] if c in "0123456789"]
+        if 16 <= len(d) <= 19 and sum(x if k % 2 == 0 else sum(divmod(2 * x, 10)) for k, x in enumerate(reversed(d))) % 10 == 0:
+            out.append(("card", m.start(), m.end()))
+    out += [("phone", m.start(), m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 8 <= sum(c in "0123456789" for c in m[0]) <= 15]
+    return sorted(out, key=lambda s: (pii.BASE.index(s[0]), s[1]))
+
+
+def test_personal_data(spark, sf, texts):
+    have = got(spark, sf, "op6_pii")
+    for d, x in texts.items():
+        base = by_the_letter(x or "")
+        row = have[d]
+        assert [row[f"n_{k}"] for k in pii.BASE] == [sum(s[0] == k for s in base) for k in pii.BASE]
+        joined = [f"{k}:{a}:{b}" for k, a, b in base]
+        spans = row["spans"].split(",") if row["spans"] else []
+        assert row["base_sha256"] == hashlib.sha256(",".join(joined).encode()).hexdigest() and set(joined) <= set(spans) and row["n_spans"] == len(spans)
+        tokens_in = [m.span(1) for m in re.finditer(r'(?i)token = "([0-9a-f]{40})"', x or "")]
+        assert {f"secret:{a}:{b}" for a, b in tokens_in} <= set(spans)
+    clean = [d for d, x in texts.items() if not re.search("[0-9@]", x or "")]
+    assert clean and all(have[d]["spans"] == "" for d in clean)
+
+
+def test_base_rules_on_random_strings():
+    rng = np.random.default_rng(13)
+    for _ in range(4000):
+        t = "".join(rng.choice(list("0123456789") + ["1", "4111 1111 1111 1111", ".", ".", "-", " ", "+1", "(", ")", "a", "@", "b.c", "%", "10.0.0.1", "x"], rng.integers(1, 20)))
+        assert sorted(pii.base_spans(t), key=lambda s: (pii.BASE.index(s[0]), s[1])) == by_the_letter(t)
+
+
 def held_out_pages(sf):
     """Weights fitted on pages of other ids, and pages to look at: (html, main text)."""
     from html import unescape
