@@ -17,10 +17,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, parallel, prepare, written
+from .common import new_path, only, parallel, prepare, written
 from .tokens import filesystem
 
 U = np.uint64
@@ -31,30 +32,52 @@ ANSWER = "block string, data binary"
 
 
 def blocks(docs: DataFrame) -> DataFrame:
-    """block, doc_id, text. A frame that is no plain scan of files is written first, so that blocks are the same at each reading."""
+    """block, row (its number in the file), doc_id, text. A frame that is no plain scan of files is written first, so that blocks are the same at each reading."""
     prepare(docs.sparkSession)
-    where = F.concat_ws("#", "_metadata.file_path", (F.col("_metadata.row_index") / ROWS).cast("long").cast("string"))
+    block = F.concat_ws("#", "_metadata.file_path", (F.col("_metadata.row_index") / ROWS).cast("long").cast("string")).alias("block")
+    columns = [block, F.col("_metadata.row_index").cast("long").alias("row"), F.col("doc_id").cast("long"), "text"]
     try:
-        return docs.select(where.alias("block"), F.col("doc_id").cast("long"), "text")
-    except Exception:
-        return written(docs.select("doc_id", "text"), "scan").select(where.alias("block"), F.col("doc_id").cast("long"), "text")
+        return docs.select(*columns)
+    except AnalysisException:  # no files under it, so no _metadata
+        return written(only(docs, "doc_id", "text"), "scan").select(*columns)
 
 
-def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[int | None], list[bytes]]]:
-    """(block, ids, texts as UTF-8) of rows of one block, up to BYTES of text (one row at least)."""
-    block, ids, texts, size = None, [], [], 0
+def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray, list[int | None], list[bytes]]]:
+    """(block, row numbers, ids, texts as UTF-8) of rows of one block, up to BYTES of text (one row at least)."""
+    block, rows, ids, texts, size = None, [], [], [], 0
     for b in batches:
-        for k, d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+        for k, r, d, t in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
             raw = t.encode("utf-8", "surrogatepass") if t else b""
             if ids and (k != block or size + len(raw) > BYTES):
-                yield block, ids, texts
-                ids, texts, size = [], [], 0
+                yield block, np.array(rows, np.int64), ids, texts
+                rows, ids, texts, size = [], [], [], 0
             block = k
+            rows.append(r)
             ids.append(d)
             texts.append(raw)
             size += len(raw)
     if ids:
-        yield block, ids, texts
+        yield block, np.array(rows, np.int64), ids, texts
+
+
+def marks(rows: np.ndarray, starts: np.ndarray, run: np.ndarray, flags: np.ndarray) -> bytes:
+    """An answer: runs of strings by row and place in it, with a flag for each string of a run."""
+    return parts(rows.astype("<i8").tobytes(), starts.astype("<i8").tobytes(), run.astype("<u2").tobytes(), np.packbits(flags).tobytes())
+
+
+def marked(answers: list[bytes], rows: np.ndarray, offset: np.ndarray) -> np.ndarray:
+    """Places of the flagged strings in a chunk whose rows begin at offset."""
+    out = [np.zeros(0, np.int64)]
+    for a in answers:
+        (r, s, n, m), _ = split(a)
+        r, s, n = np.frombuffer(r, "<i8"), np.frombuffer(s, "<i8"), np.frombuffer(n, "<u2").astype(np.int64)
+        flags = np.unpackbits(np.frombuffer(m, np.uint8), count=int(n.sum())).astype(bool)
+        at = np.minimum(np.searchsorted(rows, r), len(rows) - 1)
+        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        place = np.repeat(np.where(rows[at] == r, offset[at] + s, -1), n)
+        own = flags & (place >= 0)
+        out.append(place[own] + inside[own])
+    return np.concatenate(out)
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -92,26 +115,27 @@ def split(data: bytes, at: int = 0) -> tuple[list[bytes], int]:
     return out, at
 
 
-def ask(rows: DataFrame, make: Callable, answer: Callable, name: str) -> str:
-    """One round. make(block, ids, texts, buckets) gives (bucket, data) packs; answer([(block, data), ...]) gives (block, data)
-    answers of one bucket. Returns the folder of the side files."""
+def ask(rows: DataFrame, make: Callable, answer: Callable, name: str, buckets: int = 0) -> str:
+    """One round. make(block, rows, ids, texts, buckets) gives (bucket, data) packs; answer(bucket, [(block, data), ...]) gives
+    (block, data) answers of one bucket. Returns the folder of the side files."""
     spark = rows.sparkSession
-    n = parallel(spark)
+    n = buckets or parallel(spark)
     folder = new_path(spark, name)
 
     def asks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, ids, texts in chunks(batches):
-            out = list(make(block, ids, texts, n))
+        for block, numbers, ids, texts in chunks(batches):
+            out = list(make(block, numbers, ids, texts, n))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([block] * len(out)), pa.array([o[1] for o in out], pa.binary())], ["bucket", "block", "data"])
 
     def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = [(b.column(1).to_pylist(), b.column(2).to_pylist()) for b in batches]  # one bucket: a partition of the hash space
-        packs = sorted((k, d) for ks, ds in seen for k, d in zip(ks, ds, strict=True))
-        if not packs:
-            return
-        for block, data in answer(packs):
-            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([data], pa.binary())], ["block", "data"])
+        seen: dict[int, list[tuple[str, bytes]]] = {}  # one bucket: a partition of the hash space
+        for b in batches:
+            for bucket, k, d in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                seen.setdefault(bucket, []).append((k, d))
+        for bucket, packs in seen.items():
+            for block, data in answer(bucket, sorted(packs)):
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([data], pa.binary())], ["block", "data"])
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, base = filesystem(folder)

@@ -37,6 +37,20 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
+def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
+    """Minimum of each w consecutive entries, by prefix and suffix minima of blocks of w."""
+    n = len(x) - w + 1
+    if n <= 0:
+        return np.zeros(0, x.dtype)
+    size = -(-len(x) // w) * w
+    p = np.full(size, np.iinfo(x.dtype).max, x.dtype)
+    p[: len(x)] = x
+    p = p.reshape(-1, w)
+    left = np.minimum.accumulate(p, axis=1).ravel()
+    right = np.minimum.accumulate(p[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(right[:n], left[w - 1 : w - 1 + n])
+
+
 def runs(h: np.ndarray, width: int) -> np.ndarray:
     """One hash for each `width` consecutive entries; all of them as one if there are fewer."""
     w = min(width, len(h))

@@ -2,14 +2,17 @@
 
 The words of each document are cut into non-overlapping blocks of BLOCK words,
 which are indexed. Every rolling window of BLOCK words probes the index. A
-repeat of WINDOW words holds at least one whole block, so it shows as a hit;
-hits are extended to all windows of WINDOW words around them, and a window's
-whole content decides which document had it first. Runs of such windows are
-the maximal exact repeats.
-
-Index and probes are compared in buckets of the hash space (see exchange); texts
-aren't moved. Probes use 40 bits and their bucket, which only costs needless
-candidates; windows use 64 bits and an independent bucket.
+repeat of WINDOW words holds at least one whole block, so it shows as a hit.
+Hits are extended to all windows of WINDOW words around them; their words are
+compared as they are, and the smallest document that has a window keeps it. Runs
+of windows that another document had first are the maximal exact repeats.
+
+Index and probes are compared by hashes in buckets of the hash space (see
+exchange), which only costs needless candidates where hashes collide. Windows
+that agree in the hit of the smallest hash go to that hash's bucket together, as
+one run of words, each distinct one once for a chunk; there their words decide.
+Each window's verdict goes back by row and place, so texts are hashed twice and
+moved only where they repeat.
 
 Defined results: a null or empty text has no words; rows without doc_id neither
 lose words nor make others lose them; rows of one doc_id are one document for
@@ -26,8 +29,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .exchange import Side, U, ask, blocks, chunks, packed, parts, prefix, run_hashes, split, unpacked
-from .shingles import mixed, word_hashes
+from .exchange import Side, U, ask, blocks, chunks, marked, marks, packed, parts, prefix, run_hashes, split, unpacked
+from .shingles import mixed, sliding_min, word_hashes
 
 WINDOW = 50
 BLOCK = 25
@@ -65,7 +68,7 @@ def spans_of(keys: np.ndarray) -> Iterator[tuple[int, int, int]]:
             yield int(keys[a]), a, b
 
 
-def probes(block: str, ids: list, texts: list[bytes], buckets: int) -> Iterator[tuple[int, bytes]]:
+def probes(block: str, rows: np.ndarray, ids: list, texts: list[bytes], buckets: int) -> Iterator[tuple[int, bytes]]:
     """For each bucket: the distinct probes, whether each occurs twice here, and whether it is an indexed block."""
     w = Words(texts)
     at = w.windows(BLOCK)
@@ -81,7 +84,7 @@ def bits(data: bytes, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(data, np.uint8), count=n).astype(bool)
 
 
-def hits(packs: list[tuple[str, bytes]]) -> Iterator[tuple[str, bytes]]:
+def hits(bucket: int, packs: list[tuple[str, bytes]]) -> Iterator[tuple[str, bytes]]:
     """To each block, its probes that are indexed blocks and occur at least twice in all."""
     got = []
     for block, data in packs:
@@ -106,50 +109,83 @@ def found(table: np.ndarray, values: np.ndarray) -> np.ndarray:
     return table[np.minimum(np.searchsorted(table, values), len(table) - 1)] == values
 
 
+NOT = np.iinfo(U).max
+PLACE = U(30)
+
+
 def extend(folder: str):
-    """Windows of WINDOW words with a hit inside: for each bucket their hashes and the smallest and largest doc_id here."""
+    """For each bucket: the distinct runs of words whose windows have their hit of the smallest hash in common, how many windows each holds, and where they stand: row, first word, doc_id and number of the run."""
     side = Side(folder)
 
-    def make(block: str, ids: list, texts: list[bytes], buckets: int) -> Iterator[tuple[int, bytes]]:
+    def make(block: str, rows: np.ndarray, ids: list, texts: list[bytes], buckets: int) -> Iterator[tuple[int, bytes]]:
+        import zstandard
+
         good = np.unique(np.concatenate([unpacked(d) for d in side.of(block)] or [np.zeros(0, U)]))
         if not len(good):
             return
         w = Words(texts)
         at = w.windows(BLOCK)
-        hit = np.zeros(len(w.doc) + 2, np.int64)
-        hit[at + 1] = found(good, w.hashes(at, BLOCK) & LOW)
-        hit = np.cumsum(hit)
+        h = w.hashes(at, BLOCK)
+        hit = found(good, h & LOW)
+        value = np.full(max(0, len(w.doc) - BLOCK + 1), NOT, U)
+        value[at[hit]] = h[hit] >> PLACE << PLACE | at[hit].astype(U)
         at = w.windows(WINDOW)
-        at = at[hit[at + WINDOW - BLOCK + 1] > hit[at]]
+        low = sliding_min(value, WINDOW - BLOCK + 1)[at]
         known = np.array([d is not None for d in ids])
-        at = at[known[w.doc[at]]]
-        doc = np.array([d or 0 for d in ids], np.int64)[w.doc[at]]
-        h = w.hashes(at, WINDOW)
-        b = by_bucket(h, buckets, 2)
-        order = np.lexsort((doc, h, b))
-        b, h, doc = b[order], h[order], doc[order]
-        for bucket, x, y in spans_of(b):
-            values, first = np.unique(h[x:y], return_index=True)
-            last = np.append(first[1:], y - x) - 1
-            yield bucket, parts(packed(values), doc[x:y][first].astype("<i8").tobytes(), (doc[x:y][last]).astype("<i8").tobytes())
+        some = (low != NOT) & known[w.doc[at]]
+        at, low = at[some], low[some]
+        if not len(at):
+            return
+        anchor = (low & U((1 << int(PLACE)) - 1)).astype(np.int64)
+        new = np.flatnonzero((np.diff(anchor) != 0) | (np.diff(at) != 1)) + 1
+        first, last = at[np.concatenate([[0], new])], at[np.concatenate([new - 1, [len(at) - 1]])]
+        b = by_bucket(w.hashes(anchor[np.concatenate([[0], new])], BLOCK), buckets, 2)
+        order = np.argsort(b, kind="stable")
+        words = [x for ws in w.words for x in ws]
+        zip_ = zstandard.ZstdCompressor(level=1)
+        for bucket, x, y in spans_of(b[order]):
+            own = order[x:y]
+            seen: dict[bytes, int] = {}
+            number = [seen.setdefault(b" ".join(words[i : j + WINDOW]), len(seen)) for i, j in zip(first[own].tolist(), last[own].tolist(), strict=True)]
+            doc = w.doc[first[own]]
+            owner = np.array([ids[d] for d in doc.tolist()], "<i8")
+            yield bucket, parts(zip_.compress(b"\n".join(seen)), np.array(number, "<u4").tobytes(), rows[doc].astype("<i8").tobytes(), (first[own] - w.start[doc]).astype("<i8").tobytes(), owner.tobytes())
 
     return make
 
 
-def firsts(packs: list[tuple[str, bytes]]) -> Iterator[tuple[str, bytes]]:
-    """To each block, its windows that a smaller document has, with the smallest doc_id of all."""
+def firsts(bucket: int, packs: list[tuple[str, bytes]]) -> Iterator[tuple[str, bytes]]:
+    """To each block, its runs in which some window stands in a smaller document, with a flag for each window."""
+    import zstandard
+
+    numbers: dict[bytes, int] = {}
     got = []
     for block, data in packs:
-        (v, lo, hi), _ = split(data)
-        got.append((block, unpacked(v), np.frombuffer(lo, "<i8"), np.frombuffer(hi, "<i8")))
-    allv, low = np.concatenate([g[1] for g in got]), np.concatenate([g[2] for g in got])
-    order = np.argsort(allv, kind="stable")
-    values, first = np.unique(allv[order], return_index=True)
-    low = np.minimum.reduceat(low[order], first)
-    for block, v, _, hi in got:
-        own = low[np.searchsorted(values, v)]
-        if (some := own < hi).any():
-            yield block, parts(packed(v[some]), own[some].astype("<i8").tobytes())
+        (texts, n, r, s, d), _ = split(data)
+        of = np.array([numbers.setdefault(t, len(numbers)) for t in zstandard.ZstdDecompressor().decompress(texts).split(b"\n")])
+        got.append((block, of[np.frombuffer(n, "<u4")], np.frombuffer(r, "<i8"), np.frombuffer(s, "<i8"), np.frombuffer(d, "<i8")))
+    low = np.full(len(numbers), np.iinfo(np.int64).max)
+    for _, n, _, _, d in got:
+        np.minimum.at(low, n, d)
+    least: dict[bytes, int] = {}
+    windows: list[list[bytes]] = []
+    for text, doc in zip(numbers, low.tolist(), strict=True):
+        cut = [-1, *(np.flatnonzero(np.frombuffer(text, np.uint8) == 32)).tolist(), len(text)]
+        own = [text[cut[k] + 1 : cut[k + WINDOW]] for k in range(len(cut) - WINDOW)]
+        windows.append(own)
+        for x in own:
+            if doc < least.get(x, NOT):
+                least[x] = doc
+    run = np.array([len(own) for own in windows], np.int64)
+    begin = np.cumsum(run) - run
+    least_of = np.array([least[x] for own in windows for x in own], np.int64)
+    for block, n, r, s, d in got:
+        size = run[n]
+        inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        flags = least_of[np.repeat(begin[n], size) + inside] < np.repeat(d, size)
+        some = np.add.reduceat(flags.astype(np.int64), np.cumsum(size) - size) > 0
+        if some.any():
+            yield block, marks(r[some], s[some], size[some], flags[np.repeat(some, size)])
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -160,28 +196,20 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         answers = Side(side)
-        for block, ids, texts in chunks(batches):
-            w = Words(texts)
-            gone = np.zeros(len(w.doc) + 1, np.int64)
-            if got := [split(d)[0] for d in answers.of(block)]:
-                values = np.concatenate([unpacked(v) for v, _ in got])
-                low = np.concatenate([np.frombuffer(x, "<i8") for _, x in got])
-                order = np.argsort(values, kind="stable")
-                values, low = values[order], low[order]
-                at = w.windows(WINDOW)
-                h = w.hashes(at, WINDOW)
-                place = np.minimum(np.searchsorted(values, h), len(values) - 1)
-                known = np.array([d is not None for d in ids])[w.doc[at]]
-                doc = np.array([d or 0 for d in ids], np.int64)[w.doc[at]]
-                at = at[known & (values[place] == h) & (low[place] < doc)]
-                np.add.at(gone, at, 1)
-                np.add.at(gone, at + WINDOW, -1)
+        for block, numbers, ids, texts in chunks(batches):
+            words = [t.split() for t in texts]
+            n = np.array([len(x) for x in words], np.int64)
+            start = np.cumsum(n) - n
+            gone = np.zeros(int(n.sum()) + 1, np.int64)
+            at = marked(answers.of(block), numbers, start)
+            np.add.at(gone, at, 1)
+            np.add.at(gone, at + WINDOW, -1)
             gone = np.cumsum(gone[:-1]) > 0
             removed, kept = [], []
-            for k, words in enumerate(w.words):
-                own = gone[w.start[k] : w.start[k] + w.n[k]]
+            for k, own_words in enumerate(words):
+                own = gone[start[k] : start[k] + n[k]]
                 removed.append(int(own.sum()))
-                kept.append(b" ".join([x for x, g in zip(words, own.tolist(), strict=True) if not g] if removed[-1] else words))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(w.n), pa.array(removed, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept]), pa.array([x.decode("utf-8", "surrogatepass") for x in kept])], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
+                kept.append(b" ".join([x for x, g in zip(own_words, own.tolist(), strict=True) if not g] if removed[-1] else own_words))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n), pa.array(removed, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept]), pa.array([x.decode("utf-8", "surrogatepass") for x in kept])], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
     return rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")

@@ -11,10 +11,10 @@ import public_tokenizers
 import pytest
 
 import corpus_pipeline
-from facetlens.llm import mixing, neardup, pages, pii, quality, sharding, tokens
+from facetlens.llm import exchange, mixing, neardup, pages, pii, quality, sharding, substring_dedup, suffix_dedup, tokens
 from facetlens.llm.queries import QUERIES, SQL
-from facetlens.llm.shingles import shingle_set
-from facetlens.llm.suffix_dedup import Family, sliding_min
+from facetlens.llm.shingles import shingle_set, sliding_min
+from facetlens.llm.suffix_dedup import Family
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -61,15 +61,75 @@ def test_suffix(spark, sf, texts):
         assert have[d] == {"doc_id": d, "n_bytes": len(b), "n_removed": sum(gone), "n_spans": len(re.findall(b"\1+", bytes(gone))), "kept_sha256": hashlib.sha256(kept).hexdigest()}
 
 
+def family_of(batches):
+    f, all_strings = Family(), []
+    for texts in batches:
+        size = np.array([len(t) - 199 for t in texts])
+        begin = np.cumsum(size + 199) - (size + 199)
+        at = np.concatenate([b + np.arange(n) for b, n in zip(begin, size)])
+        f.add(np.frombuffer(b"".join(texts), np.uint8), at, np.zeros(len(at), bool))
+        all_strings += [t[i : i + 200] for t, n in zip(texts, size) for i in range(n)]
+    return f, all_strings
+
+
 def test_family_is_logarithmic_and_finds_all():
     rng = np.random.default_rng(0)
-    f, seen, marks = Family(), Counter(), []
-    batches = [rng.integers(0, 4000, 500).astype(np.uint64) for _ in range(20)]
-    for b in batches:
-        seen.update(b.tolist())
-        f.add(b.astype(np.int64) % 7, b * np.uint64(0x9E3779B97F4A7C15), np.zeros(len(b), bool))
-    assert len(f.levels) <= 6
-    assert np.concatenate(f.marks).tolist() == [seen[x] > 1 for b in batches for x in b.tolist()]
+    pool = [rng.choice([0, 97, 98, 255], 260, p=[0.1, 0.4, 0.4, 0.1]).astype(np.uint8).tobytes() for _ in range(40)] + [b"a" * 400, b"\0" * 400, b"ab" * 200]
+    cut = lambda t: t[rng.integers(0, 30) : len(t) - rng.integers(0, 30)]
+    prefix = [b"same beginning of one hundred and ninety-two bytes".ljust(192, b".") + rng.integers(97, 100, 40).astype(np.uint8).tobytes() for _ in range(30)]
+    batches = [[cut(pool[k]) if k < len(pool) else prefix[k - len(pool)] for k in rng.integers(0, len(pool) + len(prefix), 3)] for _ in range(20)]
+    f, strings = family_of(batches)
+    seen = Counter(strings)
+    assert np.concatenate(f.marks).tolist() == [seen[x] > 1 for x in strings]
+    assert len(f.levels) <= 12 and sum(len(x.at) for x in f.levels) == len(seen)
+    for level in f.levels:
+        own = [level.text[a : a + 200].tobytes() for a in level.at.tolist()]
+        assert own == sorted(set(own))
+
+
+def in_process(folder, some, make, answer):
+    """A round of questions and answers without a cluster."""
+    packs, out = defaultdict(list), defaultdict(list)
+    for block, rows, ids, raw in some:
+        for bucket, data in make(block, rows, ids, raw, 3):
+            packs[bucket].append((block, data))
+    for bucket, own in packs.items():
+        for block, data in answer(bucket, sorted(own)):
+            out[block].append(data)
+    folder.mkdir()
+    for block, own in out.items():
+        (folder / exchange.side_name(block)).write_bytes(b"".join(map(exchange.parts, own)))
+    return f"file://{folder}"
+
+
+def test_hash_collisions_remove_nothing(texts, monkeypatch, tmp_path):
+    """With hashes of four bits all candidates collide; bytes and words decide."""
+    some = [(f"b{k // 40}", np.arange(k, k + 20), list(range(k, k + 20)), [(x or "").encode() for x in list(texts.values())[k : k + 20]]) for k in range(0, 120, 20)]
+
+    def flagged(name):
+        a = in_process(tmp_path / f"{name}1", some, suffix_dedup.minimisers, suffix_dedup.repeated)
+        a = in_process(tmp_path / f"{name}2", some, suffix_dedup.segments(a), suffix_dedup.matched())
+        b = in_process(tmp_path / f"{name}3", some, substring_dedup.probes, substring_dedup.hits)
+        b = in_process(tmp_path / f"{name}4", some, substring_dedup.extend(b), substring_dedup.firsts)
+        return [sorted(exchange.marked(exchange.Side(x).of(block), rows, np.arange(len(rows)) * 10**6).tolist()) for x in (a, b) for block, rows, _, _ in some]
+
+    want = flagged("whole")
+    for module in (suffix_dedup, substring_dedup):
+        monkeypatch.setattr(module, "LOW", np.uint64(15))
+        monkeypatch.setattr(module, "mixed", lambda h: h & np.uint64(0x3F))
+    assert any(want) and want == flagged("few")
+
+
+def test_second_batch_meets_the_index(spark, texts, tmp_path):
+    old, new = list(texts.items())[:60], list(texts.items())[60:140]
+    index = f"file://{tmp_path}/index"
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    first = {r.doc_id: r.n_removed for r in suffix_dedup.remove_duplicates(frame(old), index).collect()}
+    second = {r.doc_id: r.n_removed for r in suffix_dedup.remove_duplicates(frame(new), index).collect()}
+    assert first == {r.doc_id: r.n_removed for r in suffix_dedup.remove_duplicates(frame(old)).collect()}
+    both = {r.doc_id: r.n_removed for r in suffix_dedup.remove_duplicates(frame(old + new)).collect()}
+    alone = {r.doc_id: r.n_removed for r in suffix_dedup.remove_duplicates(frame(new)).collect()}
+    assert second == {d: both[d] for d, _ in new} != alone
 
 
 def test_sliding_min():
