@@ -9,10 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..functions.vec import rounded, vector_of, vector_sum
-from ..operators import agreement, constructs, diagnostics, kernels, naming, redundancy, retention, similarity
+from ..operators import agreement, constructs, diagnostics, kernels, maps, naming, nli, redundancy, retention, similarity
 from ..operators.fit import fit_matrix, similarity_matrix
-from ..sources.items import fixture, table
+from ..sources import files, pool
+from ..sources.items import dequantised, fixture, quantised, table
 from .oracle import SQL
 
 THRESHOLD = 0.40
@@ -304,11 +306,126 @@ def response_clean_reverse_score(spark, sf_dir):
 
 @query
 def corplot_order(spark, sf_dir):
-    """Blocks of factors: those named first, in their order, then the others as they first appear; items stay in order."""
+    """Blocks of factors: those named first, in their order, then the others by name; items stay in order."""
+    return maps.group_order(fixture(spark, sf_dir), ("3", "1"))
+
+
+@query
+def heatmap(spark, sf_dir):
+    """The similarity matrix in the order of its blocks."""
+    d = fixture(spark, sf_dir)
+    return six(maps.heatmap(similarity.similarity_pairs(d), maps.group_order(d, ("3", "1"))), "sim")
+
+
+@query
+def projection_axes(spark, sf_dir):
+    """Two axes between label means."""
+    d = fixture(spark, sf_dir)
+    pole = lambda f, axis, name: d.where(F.col("factor") == f).select(F.lit(axis).alias("axis"), F.lit(name).alias("pole"), "v")
+    poles = [pole("0", "first", "low"), pole("1", "first", "high"), pole("2", "second", "low"), pole("3", "second", "high")]
+    return six(constructs.project_axes(d, reduce(DataFrame.unionByName, poles)), "score")
+
+
+@query
+def projection_ends(spark, sf_dir):
+    return constructs.axis_ends(projection_axes(spark, sf_dir), 5)
+
+
+@query
+def flags_ordered(spark, sf_dir):
+    d = fixture(spark, sf_dir)
+    return constructs.flags_in_order(constructs.jingle_jangle(d, labels_of(d)))
+
+
+@query
+def pairs_ordered(spark, sf_dir):
+    return redundancy.in_order(redundancy.redundant_pairs(pairs(spark, sf_dir, threshold=THRESHOLD), THRESHOLD))
+
+
+@query
+def gap_bands(spark, sf_dir):
+    return item_fit_summary(spark, sf_dir).select("ord", "gap", text.band(F.col("gap"), text.GAP_BANDS).alias("discrimination"))
+
+
+@query
+def item_fit_reversed(spark, sf_dir):
+    """Reverse-keyed candidates, with a construct named by the beginning of its name."""
+    d = fixture(spark, sf_dir).withColumn("factor", F.concat(F.lit("Scale "), "factor"))
+    items = d.where("ord % 50 <> 0")
+    out = constructs.item_fit(d.where("ord % 50 = 0").select("ord", "v"), items, labels_of(items), construct="scale 3", reverse_key=True)
+    return six(out, "sim_name", "sim_items", "gap", "nearest_sim", "target_sim")
+
+
+@query
+def name_rules(spark, sf_dir):
+    """Slugs, default codes and the naming template over part names."""
+    d = table(spark, sf_dir, "part")
+    return d.select("p_partkey", text.slug(F.col("p_name")).alias("slug"), text.default_code(F.col("p_partkey")).alias("code"), text.naming_query(F.col("p_name")).alias("query"))
+
+
+@query
+def like_codes(spark, sf_dir):
+    d = table(spark, sf_dir, "part")
+    both = [text.like_codes(d, c).withColumn("of", F.lit(c)) for c in ("p_name", "p_brand", "p_type")]
+    return reduce(DataFrame.unionByName, both).unionByName(text.like_codes(fixture(spark, sf_dir), "code").withColumn("of", F.lit("code")))
+
+
+@query
+def generated_codes(spark, sf_dir):
+    d = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("ord"), F.col("c_mktsegment").alias("factor"))
+    return text.generated_codes(d)
+
+
+@query
+def name_matches(spark, sf_dir):
+    """Beginnings of nation names, and whether each means one nation."""
+    names = table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"))
+    wanted = names.select(F.lower(F.substring("name", 1, 2)).alias("wanted")).unionByName(names.select(F.lower("name").alias("wanted"))).unionByName(names.select(F.concat("name", F.lit("?")).alias("wanted")))
+    return text.matches(wanted, names)
+
+
+@query
+def pool_scan(spark, sf_dir):
+    """Words 100 to 299 of a pool in eight bits, as unit vectors again: their first coordinates."""
+    d = quantised(pool_of(fixture(spark, sf_dir))).where("row >= 100 AND row < 300").withColumn("v", dequantised(F.col("q"), F.col("scale")))
+    d = d.withColumn("n", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)))
+    return d.select("row", "word", rounded(F.col("v")[0] / F.col("n"), 5).alias("x0"), rounded(F.col("v")[1] / F.col("n"), 5).alias("x1"))
+
+
+@query
+def pool_lookup(spark, sf_dir):
+    d = pool_of(fixture(spark, sf_dir))
+    return pool.pool_rows(d, table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("row"))).select("row", "word", "family", "tier1")
+
+
+@query
+def family_lookup(spark, sf_dir):
     d = fixture(spark, sf_dir)
-    rank = d.groupBy("factor").agg(F.min("ord").alias("first")).withColumn("user", F.when(F.col("factor") == "3", 0).when(F.col("factor") == "1", 1).otherwise(2))
-    rank = rank.withColumn("block", F.row_number().over(Window.orderBy("user", "first"))).select("factor", "block")
-    return d.join(rank, "factor").select("ord", "factor", "block", F.row_number().over(Window.partitionBy("block").orderBy("ord")).alias("within"))
+    return pool.family_of(d.select(F.format_string("w%d", F.col("ord") * 2).alias("word")), pool_of(d))
+
+
+@query
+def nli_ordered(spark, sf_dir):
+    """All ordered pairs by a classifier on executors."""
+    rule = lambda a, b: {"entailment": [0.9 if x[:3] == y[:3] else 0.1 for x, y in zip(a, b)], "contradiction": [len(x) % 7 / 10 for x in a]}  # noqa: B905, E731
+    texts = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("ord"), "text")
+    return six(nli.nli_pairs(texts, rule, symmetric=False), "sim")
+
+
+@query
+def responses_cleaned(spark, sf_dir):
+    """Cases whose values are all in range, one column turned round."""
+    d = table(spark, sf_dir, "lineitem").select((F.col("l_quantity").cast("int") % 7).alias("a"), (F.col("l_linenumber") % 6).alias("b"))
+    return files.cleaned(d, 1, 5, ("b",)).groupBy("a", "b").agg(F.count("*").alias("n"))
+
+
+@query
+def null_summary(spark, sf_dir):
+    """Mean and tails of each metric over draws."""
+    from ..operators.fit import calibration_summary
+
+    d = fixture(spark, sf_dir).select(F.col("v")[0].alias("rmsr"), F.col("v")[1].alias("caf"), F.col("v")[2].alias("tefi"))
+    return six(calibration_summary(d), "mean", "q05", "q95")
 
 
 @query

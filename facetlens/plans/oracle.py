@@ -63,6 +63,31 @@ def halves(p: str, name: str) -> str:
   FROM (SELECT max(CASE WHEN k % 2 = 0 THEN sim END) AS o, max(CASE WHEN k % 2 = 1 THEN sim END) AS e FROM {name}k GROUP BY k // 2) WHERE e IS NOT NULL)"""
 
 
+def item_fit(name: str = "factor", sign: str = "") -> str:
+    """Candidates are the ids divisible by 50, against all others; name: the construct's name from its factor, sign: - for reverse-keyed ones."""
+    every = U.replace("u AS", "raw_items AS", 1) + f", every AS (SELECT * REPLACE ({name} AS factor) FROM raw_items), u AS (SELECT * FROM every WHERE ord % 50 <> 0), cand AS (SELECT * FROM every WHERE ord % 50 = 0)"
+    return f"""WITH {every}, {LONG}, {SUMS}, {LABELS}, {LOO},
+sims AS (SELECT cand.ord, s.factor AS construct, {sign}list_dot_product(v, w) / (cand.n * sqrt(list_dot_product(w, w))) AS sim_name, {sign}list_dot_product(v, s) / (cand.n * sqrt(list_dot_product(s, s))) AS sim_items FROM cand, s JOIN w USING (factor)),
+rk AS (SELECT sims.*, row_number() OVER (PARTITION BY ord ORDER BY sim_items DESC, first) AS r FROM sims JOIN (SELECT factor AS construct, min(ord) AS first FROM u GROUP BY factor) USING (construct)),
+b AS (SELECT x.ord, x.construct AS best, x.sim_name, x.sim_items, y.construct AS second, x.sim_items - y.sim_items AS gap FROM (SELECT * FROM rk WHERE r = 1) x LEFT JOIN (SELECT * FROM rk WHERE r = 2) y USING (ord)),
+usual AS (SELECT factor AS best, avg(sim) AS usual FROM anchor WHERE factor = construct GROUP BY factor),
+near AS (SELECT * FROM (SELECT cand.ord, u.ord AS nearest, {sign}list_dot_product(cand.v, u.v) / (cand.n * u.n) AS nearest_sim, row_number() OVER (PARTITION BY cand.ord ORDER BY {sign}list_dot_product(cand.v, u.v) / (cand.n * u.n) DESC, u.ord) AS r FROM cand, u) WHERE r = 1),
+st AS (SELECT *, CASE WHEN usual IS NULL THEN 'about typical' WHEN sim_items >= usual + 0.05 THEN 'stronger than average' WHEN sim_items <= usual - 0.05 THEN 'weaker than average' ELSE 'about typical' END AS strength FROM b LEFT JOIN usual USING (best) JOIN near USING (ord))"""
+
+
+ITEM_FIT = item_fit()
+ITEM_FIT_COLUMNS = f"""ord, best, {r6('sim_name')} AS sim_name, {r6('sim_items')} AS sim_items, second, {r6('gap')} AS gap, strength, nearest, {r6('nearest_sim')} AS nearest_sim,
+CASE WHEN nearest_sim >= 0.9 THEN 'redundant' WHEN strength = 'weaker than average' THEN 'weak' WHEN gap < 0.07 THEN 'cross-loads' ELSE 'good' END AS verdict"""
+ORDERED = "b AS (SELECT factor, row_number() OVER (ORDER BY CASE factor WHEN '3' THEN 0 WHEN '1' THEN 1 ELSE 2 END, factor) AS block FROM u GROUP BY factor), o AS (SELECT ord, factor, block, row_number() OVER (ORDER BY block, ord) AS place FROM u JOIN b USING (factor))"
+AXES = f"""{U}, {LONG}, e AS (SELECT axis, pos, avg(x) FILTER (factor = lo) AS lo, avg(x) FILTER (factor = hi) AS hi FROM l, (VALUES ('first', '0', '1'), ('second', '2', '3')) t(axis, lo, hi) GROUP BY ALL),
+x AS (SELECT axis, list(lo ORDER BY pos) AS lo, list(hi ORDER BY pos) AS hi, list(hi - lo ORDER BY pos) AS a FROM e GROUP BY axis),
+y AS (SELECT axis, a, sqrt(list_dot_product(a, a)) AS an, list_dot_product(lo, a) / sqrt(list_dot_product(lo, lo) * list_dot_product(a, a)) AS p0, list_dot_product(hi, a) / sqrt(list_dot_product(hi, hi) * list_dot_product(a, a)) AS p1 FROM x),
+scores AS (SELECT ord, axis, {r6('(list_dot_product(v, a) / (n * an) - p0) / (p1 - p0)')} AS score FROM u, y)"""
+FLAGS = f"""{U}, {LONG}, {SUMS}, {LABELS}, z AS (SELECT factor, raw, w FROM s JOIN w USING (factor)),
+d AS (SELECT a.factor AS scale_a, b.factor AS scale_b, list_dot_product(a.raw, b.raw) / sqrt(list_dot_product(a.raw, a.raw) * list_dot_product(b.raw, b.raw)) AS c, list_dot_product(a.w, b.w) / sqrt(list_dot_product(a.w, a.w) * list_dot_product(b.w, b.w)) AS l FROM z a JOIN z b ON a.factor < b.factor),
+fl AS (SELECT scale_a, scale_b, round(c, 3) AS content_sim, round(l, 3) AS label_sim, round(c - l, 3) AS divergence, CASE WHEN c - l >= 0.2 THEN 'jangle' WHEN c - l <= -0.2 THEN 'jingle' ELSE '-' END AS type FROM d)"""
+
+
 SQL: dict[str, str] = {
     "unit_norms": f"WITH {U} SELECT ord, code, {r6('n')} AS norm FROM u",
     **{f"{k}_pairs": f"WITH {pairs(k)} SELECT i, j, {r6('sim')} AS sim FROM p" for k in ("atomic", "keyed", "squid", "pearson")},
@@ -81,15 +106,7 @@ SELECT ord, {r6('list_dot_product(v, a) / (n * an)')} AS projection, {r6('(list_
     "jinglejangle_flags": f"""WITH {U}, {LONG}, {SUMS}, {LABELS}, z AS (SELECT factor, raw, w FROM s JOIN w USING (factor)),
 d AS (SELECT a.factor AS scale_a, b.factor AS scale_b, list_dot_product(a.raw, b.raw) / sqrt(list_dot_product(a.raw, a.raw) * list_dot_product(b.raw, b.raw)) AS c, list_dot_product(a.w, b.w) / sqrt(list_dot_product(a.w, a.w) * list_dot_product(b.w, b.w)) AS l FROM z a JOIN z b ON a.factor < b.factor)
 SELECT scale_a, scale_b, round(c, 3) AS content_sim, round(l, 3) AS label_sim, round(c - l, 3) AS divergence, CASE WHEN c - l >= 0.2 THEN 'jangle' WHEN c - l <= -0.2 THEN 'jingle' ELSE '-' END AS type FROM d""",
-    "item_fit_summary": f"""WITH {U.replace('u AS', 'every AS', 1)}, u AS (SELECT * FROM every WHERE ord % 50 <> 0), cand AS (SELECT * FROM every WHERE ord % 50 = 0), {LONG}, {SUMS}, {LABELS}, {LOO},
-sims AS (SELECT cand.ord, s.factor AS construct, list_dot_product(v, w) / (cand.n * sqrt(list_dot_product(w, w))) AS sim_name, list_dot_product(v, s) / (cand.n * sqrt(list_dot_product(s, s))) AS sim_items FROM cand, s JOIN w USING (factor)),
-rk AS (SELECT *, row_number() OVER (PARTITION BY ord ORDER BY sim_name DESC, construct) AS r FROM sims),
-b AS (SELECT x.ord, x.construct AS best, x.sim_name, x.sim_items, y.construct AS second, x.sim_name - y.sim_name AS gap FROM (SELECT * FROM rk WHERE r = 1) x LEFT JOIN (SELECT * FROM rk WHERE r = 2) y USING (ord)),
-usual AS (SELECT factor AS best, avg(sim) AS usual FROM anchor WHERE factor = construct GROUP BY factor),
-near AS (SELECT * FROM (SELECT cand.ord, u.ord AS nearest, list_dot_product(cand.v, u.v) / (cand.n * u.n) AS nearest_sim, row_number() OVER (PARTITION BY cand.ord ORDER BY list_dot_product(cand.v, u.v) / (cand.n * u.n) DESC, u.ord) AS r FROM cand, u) WHERE r = 1),
-st AS (SELECT *, CASE WHEN usual IS NULL THEN 'about typical' WHEN sim_items > usual + 0.05 THEN 'stronger' WHEN sim_items < usual - 0.05 THEN 'weaker' ELSE 'about typical' END AS strength FROM b LEFT JOIN usual USING (best) JOIN near USING (ord))
-SELECT ord, best, {r6('sim_name')} AS sim_name, {r6('sim_items')} AS sim_items, second, {r6('gap')} AS gap, strength, nearest, {r6('nearest_sim')} AS nearest_sim,
-CASE WHEN nearest_sim >= 0.9 THEN 'redundant' WHEN strength = 'weaker' THEN 'weak' WHEN gap < 0.07 THEN 'cross-loads' ELSE 'good' END AS verdict FROM st""",
+    "item_fit_summary": f"{ITEM_FIT} SELECT {ITEM_FIT_COLUMNS} FROM st",
     "short_form_topn": f"WITH {SHORT} SELECT * FROM short",
     "short_form_dropped": f"WITH {SHORT} SELECT ord, factor FROM u WHERE ord NOT IN (SELECT ord FROM short)",
     "assign_items": f"WITH {U}, {LOADINGS} SELECT ord, factor, {r6('loading')} AS loading FROM (SELECT *, row_number() OVER (PARTITION BY ord ORDER BY abs(loading) DESC, f_ord) AS r FROM fl) WHERE r = 1",
@@ -127,14 +144,39 @@ SELECT depth, round(nmi, 6) + 0.0 AS nmi, round(tefi, 6) + 0.0 AS tefi, round(nn
     "pool_topk": f"WITH {TOPK} SELECT target, row, word, family, tier1, {r6('score')} AS score, rank FROM top",
     "pool_gate": f"WITH {GATE} SELECT target, place, word, family, tier1, {r6('score')} AS score FROM gate",
     "pool_pick": f"""WITH {GATE}, tp AS (SELECT target, min(CASE WHEN tier1 AND place <= 5 THEN place END) AS tier_place FROM gate GROUP BY target)
-SELECT target, word, family, {r6('score')} AS score, CASE WHEN tier_place IS NOT NULL THEN 'tier1' ELSE 'first' END AS rule FROM gate JOIN tp USING (target) WHERE place = coalesce(tier_place, 1)""",
+SELECT target, word, family, {r6('score')} AS score, CASE WHEN tier_place IS NOT NULL THEN 'tier1' ELSE 'top1' END AS rule FROM gate JOIN tp USING (target) WHERE place = coalesce(tier_place, 1)""",
     "nli_signed_pairs": f"""WITH x AS (SELECT least(a.item_id, b.item_id) AS i, greatest(a.item_id, b.item_id) AS j, CASE WHEN left(a.text, 3) = left(b.text, 3) THEN 0.9::DOUBLE ELSE 0.1::DOUBLE END - (length(a.text) % 7) / 10.0::DOUBLE AS s FROM benchmark a JOIN benchmark b ON a.item_id <> b.item_id)
 SELECT i, j, {r6('avg(s)')} AS sim FROM x GROUP BY ALL""",
     "data_corr_matrix": " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) + 0.0 AS r FROM lineitem" for k, a in enumerate(["l_quantity", "l_extendedprice", "l_discount", "l_tax"]) for b in ["l_quantity", "l_extendedprice", "l_discount", "l_tax"][k + 1 :]),
     "response_clean_reverse_score": "SELECT l_returnflag, q, 6 - q AS reversed, count(*) AS n FROM (SELECT l_returnflag, CAST(trunc(l_quantity) AS INTEGER) % 7 AS q FROM lineitem) WHERE q BETWEEN 1 AND 5 GROUP BY ALL",
-    "corplot_order": f"""WITH {U}, b AS (SELECT factor, row_number() OVER (ORDER BY CASE factor WHEN '3' THEN 0 WHEN '1' THEN 1 ELSE 2 END, min(ord)) AS block FROM u GROUP BY factor)
-SELECT ord, factor, block, row_number() OVER (PARTITION BY block ORDER BY ord) AS within FROM u JOIN b USING (factor)""",
+    "corplot_order": f"""WITH {U}, b AS (SELECT factor, row_number() OVER (ORDER BY CASE factor WHEN '3' THEN 0 WHEN '1' THEN 1 ELSE 2 END, factor) AS block FROM u GROUP BY factor)
+SELECT ord, factor, block, row_number() OVER (ORDER BY block, ord) AS place FROM u JOIN b USING (factor)""",
     "null_percentiles": f"WITH {U}, {LONG} SELECT pos AS rank, {r6('quantile_cont(x, 0.95)')} AS q FROM l GROUP BY pos",
     "cd_improvement": """WITH m AS (SELECT label + 1 AS k, median(abs(embedding[1]::DOUBLE)) AS m FROM embeddings GROUP BY label)
 SELECT k, round(m, 6) + 0.0 AS median_rmsr, round(m / first_value(m) OVER (ORDER BY k), 6) + 0.0 AS normalized, round((lag(m) OVER (ORDER BY k) - m) / lag(m) OVER (ORDER BY k), 6) + 0.0 AS improvement FROM m""",
+    "heatmap": f"WITH {pairs()}, {ORDERED}, q AS (SELECT a.place AS p, b.place AS q, sim FROM p JOIN o a ON a.ord = i JOIN o b ON b.ord = j) SELECT p AS row, q AS col, {r6('sim')} AS sim FROM q UNION ALL SELECT q, p, {r6('sim')} FROM q UNION ALL SELECT place, place, 1.0::DOUBLE FROM o",
+    "projection_axes": f"WITH {AXES} SELECT ord, axis, score FROM scores",
+    "projection_ends": f"""WITH {AXES}, r AS (SELECT *, row_number() OVER (PARTITION BY axis ORDER BY score, ord) AS lo, row_number() OVER (PARTITION BY axis ORDER BY score DESC, ord) AS hi FROM scores)
+SELECT axis, 'low' AS pole, lo AS place, ord, score FROM r WHERE lo <= 5 UNION ALL SELECT axis, 'high', hi, ord, score FROM r WHERE hi <= 5""",
+    "flags_ordered": f"WITH {FLAGS} SELECT *, row_number() OVER (ORDER BY abs(divergence) DESC, scale_b, scale_a) AS place FROM fl",
+    "pairs_ordered": f"WITH {pairs()}, r AS (SELECT i, j, round(abs(sim), 3) AS overlap FROM p WHERE abs(sim) >= 0.40) SELECT *, row_number() OVER (ORDER BY overlap DESC, j, i) AS place FROM r",
+    "gap_bands": f"{ITEM_FIT} SELECT ord, {r6('gap')} AS gap, CASE WHEN gap >= 0.15 THEN 'discriminates well' WHEN gap >= 0.07 THEN 'some cross-loading risk' WHEN gap IS NOT NULL THEN 'ambiguous' END AS discrimination FROM st",
+    "item_fit_reversed": f"""{item_fit("'Scale ' || factor", '-')} SELECT {ITEM_FIT_COLUMNS}, t.construct AS target, {r6('t.sim_items')} AS target_sim FROM st JOIN (SELECT ord, construct, sim_items FROM sims WHERE construct = 'Scale 3') t USING (ord)""".replace("round(sim_items, 6)", "round(st.sim_items, 6)"),
+    "name_rules": "SELECT p_partkey, regexp_replace(p_name, '[^A-Za-z0-9.]+', '-', 'g') AS slug, format('item_{:02d}', p_partkey) AS code, 'Instruct: Given a questionnaire item, retrieve the name of the psychological construct that the item measures' || chr(10) || 'Query: ' || p_name AS query FROM part",
+    "like_codes": " UNION ALL ".join(f"SELECT bool_and(NOT regexp_matches({c}, '\\s') AND length({c}) <= 12) AS codes, '{c}' AS of FROM part" for c in ("p_name", "p_brand", "p_type")) + f" UNION ALL (WITH {U} SELECT bool_and(NOT regexp_matches(code, '\\s') AND length(code) <= 12), 'code' FROM u)",
+    "generated_codes": """WITH f AS (SELECT DISTINCT c_mktsegment AS factor FROM customer WHERE c_mktsegment IS NOT NULL), c AS (SELECT factor, n, left(upper(factor), n) AS p FROM (SELECT factor, unnest(generate_series(1, length(factor))) AS n FROM f)),
+a AS (SELECT p, min(factor) AS factor, min(n) AS n FROM c GROUP BY p HAVING count(*) = 1), s AS (SELECT factor, arg_min(p, n) AS p FROM a GROUP BY factor)
+SELECT c_custkey AS ord, coalesce(p, upper(f.factor)) || row_number() OVER (PARTITION BY f.factor ORDER BY c_custkey) AS code FROM customer JOIN f ON c_mktsegment = f.factor LEFT JOIN s ON s.factor = f.factor""",
+    "name_matches": """WITH w AS (SELECT lower(left(n_name, 2)) AS wanted FROM nation UNION SELECT lower(n_name) FROM nation UNION SELECT n_name || '?' FROM nation),
+b AS (SELECT wanted, n_name, CASE WHEN wanted = n_name THEN 0 WHEN lower(wanted) = lower(n_name) THEN 1 WHEN n_name IS NOT NULL THEN 2 END AS kind FROM w LEFT JOIN (SELECT DISTINCT n_name FROM nation) ON starts_with(lower(n_name), lower(wanted))),
+k AS (SELECT *, min(kind) OVER (PARTITION BY wanted) AS best FROM b)
+SELECT wanted, CASE WHEN count(*) FILTER (kind = best) = 1 THEN min(n_name) FILTER (kind = best) END AS name, count(*) FILTER (kind = best) AS candidates FROM k GROUP BY wanted""",
+    "pool_scan": f"""WITH {U}, q AS (SELECT ord AS row, 'w' || ord AS word, v, list_max(list_transform(v, lambda x: abs(x))) / 127 AS scale FROM u WHERE ord >= 100 AND ord < 300),
+d AS (SELECT row, word, list_transform(v, lambda x: round(x / CASE WHEN scale > 0 THEN scale ELSE 1 END) * scale) AS v FROM q)
+SELECT row, word, round(v[1] / sqrt(list_dot_product(v, v)), 5) + 0.0 AS x0, round(v[2] / sqrt(list_dot_product(v, v)), 5) + 0.0 AS x1 FROM d""",
+    "pool_lookup": "SELECT vec_id AS row, 'w' || vec_id AS word, 'f' || (vec_id // 2) AS family, vec_id % 3 = 0 AS tier1 FROM embeddings WHERE vec_id IN (SELECT n_nationkey FROM nation)",
+    "family_lookup": "SELECT 'w' || (2 * a.vec_id) AS word, CASE WHEN b.vec_id IS NULL THEN 'w' || (2 * a.vec_id) ELSE 'f' || (b.vec_id // 2) END AS family FROM embeddings a LEFT JOIN embeddings b ON b.vec_id = 2 * a.vec_id",
+    "nli_ordered": f"SELECT a.item_id AS i, b.item_id AS j, {r6('CASE WHEN left(a.text, 3) = left(b.text, 3) THEN 0.9::DOUBLE ELSE 0.1::DOUBLE END - (length(a.text) % 7) / 10.0::DOUBLE')} AS sim FROM benchmark a JOIN benchmark b ON a.item_id <> b.item_id",
+    "responses_cleaned": "SELECT a, 6 - b AS b, count(*) AS n FROM (SELECT CAST(trunc(l_quantity) AS INTEGER) % 7 AS a, l_linenumber % 6 AS b FROM lineitem) WHERE a BETWEEN 1 AND 5 AND b BETWEEN 1 AND 5 GROUP BY ALL",
+    "null_summary": " UNION ALL ".join(f"SELECT '{m}' AS metric, round(avg(x), 6) + 0.0 AS mean, round(quantile_cont(x, 0.05), 6) + 0.0 AS q05, round(quantile_cont(x, 0.95), 6) + 0.0 AS q95, count(*) AS n FROM (SELECT embedding[{k}]::DOUBLE AS x FROM embeddings)" for k, m in ((1, "rmsr"), (2, "caf"), (3, "tefi"))),
 }
