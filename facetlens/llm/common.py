@@ -24,13 +24,28 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors see: spark.checkpoint.dir, set here only where the session leaves it unset."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="facetlens-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at
 
 
+#: Folders that operators of this process have made.
+_paths: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/facetlens-{name}-{uuid.uuid4().hex[:12]}"
+    _paths.append(f"{shared_dir(spark)}/facetlens-{name}-{uuid.uuid4().hex[:12]}")
+    return _paths[-1]
+
+
+def clean_up(spark: SparkSession) -> int:
+    """Removes the working tables and side files of all operators run so far; their results must have been written by then. Returns how many there were."""
+    n = len(_paths)
+    while _paths:
+        drop_path(spark, _paths.pop())
+    return n
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

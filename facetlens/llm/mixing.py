@@ -3,7 +3,10 @@
 Documents are counted by exact length in each source. A source's target is
 filled with whole rounds of all its documents, then with a proportional share
 of each length, then a bounded-knapsack dynamic program over the lengths finds
-the counts that come nearest to what is left. Which documents of a length are
+the counts that come nearest to what is left. Of budgets over `FINE` words the
+longest documents first take what is beyond FINE, as the program's table has a
+bit for each word: the sum is then the nearest that contains those, which is the
+budget itself wherever the documents left over can make up the last FINE words. Which documents of a length are
 taken is decided by a seeded hash of their ids.
 
 Defined results: a null or empty text has size 0 and takes no words; a null
@@ -29,7 +32,7 @@ BUDGET = 1.5
 CAP = 2.0
 #: Buckets of the seeded hash within one source and length. Only the bucket where the count runs out is ranked row by row.
 BUCKETS = 4096
-#: Words of a source's budget that are left to the dynamic program; longer documents add their own length.
+#: Words of a source's budget that are left to the dynamic program, and the length of one document more at most.
 FINE = 1 << 16
 
 

@@ -1,14 +1,19 @@
 """Sharding along a Hilbert curve, so that readers can skip files by several metadata columns.
 
-Source, language and length are quantised to `BITS` bits each; documents are
-ordered by their cell's index on the Hilbert curve and the order is cut into
+Source, language and length are quantised to `BITS` bits each, in their order:
+by quantiles of the names' first bytes and of the lengths, so that neighbours on
+the curve are neighbours in each dimension. Documents are ordered by their cell's index on the Hilbert curve and the order is cut into
 runs of near-equal bytes (law `bytes`). Equal texts form a group, which takes
 the metadata of its smallest doc_id and stays in one shard; only a group larger
-than a whole shard is divided, by a hash of its ids. Groups of over
+than a whole shard is divided, by a hash of its rows' places. Groups of over
 `BIG` of a shard are placed first, in the shard of their place on the curve or
 the nearest with room, and the runs are cut to fill what is left.
 
-Defined results: a null text counts as empty (size 1, crc32 0); null sources,
+`write_shards` writes the shards as files with an index of each file's ranges,
+and `read_shards` opens only files whose ranges a filter meets.
+
+Defined results: a null text has size 1 and crc32 0 as an empty one has, but is
+a group of its own; null sources,
 languages and ids have a cell and an order of their own; repeated rows are
 rows; an empty table gives an empty result; further columns are ignored by
 `shard_plan` and kept by `shard`, which replaces any named shard, slot or hilbert.
@@ -21,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -63,12 +68,31 @@ def hilbert_index(dims: np.ndarray, bits: int = BITS) -> np.ndarray:
     return out
 
 
-@F.pandas_udf(T.LongType())
-def curve_of(source: pd.Series, lang: pd.Series, size: pd.Series) -> pd.Series:
-    """Of hashed source and language (-1: null) and size in bytes, in quarter octaves."""
-    top = (1 << BITS) - 1
-    length = np.minimum(np.floor(4 * np.log2(np.maximum(size.to_numpy(np.float64), 1))) / 2, top)
-    return pd.Series(hilbert_index(np.column_stack([source.to_numpy(np.int64) % (top + 1), lang.to_numpy(np.int64) % (top + 1), length.astype(np.int64)])))
+def name_code(c: str) -> Column:
+    """The first seven bytes of a name as a number that sorts as they do; NULL for NULL."""
+    return F.conv(F.rpad(F.hex(F.substring(F.col(c).cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("long")
+
+
+def cuts_of(rows: DataFrame) -> list[np.ndarray]:
+    """Quantiles of the codes of source and language and of the size, 2**BITS - 2 at most of each: the bounds of their cells."""
+    n = (1 << BITS) - 1
+    at = F.array(*[F.lit(k / n) for k in range(1, n)])
+    got = rows.agg(*[F.percentile_approx(c, at, 1000) for c in (name_code("source"), name_code("lang"), F.col("__size"))]).first()
+    return [np.unique(np.array(x or [], np.int64)) for x in got]
+
+
+def curve_of(cuts: list[np.ndarray]):
+    """Index on the curve of codes of source and language (NULL: a cell of its own) and size in bytes. Cells are spread over the whole of each dimension, however few there are."""
+
+    @F.pandas_udf(T.LongType())
+    def curve(source: pd.Series, lang: pd.Series, size: pd.Series) -> pd.Series:
+        cells = []
+        for x, at in zip((source, lang, size), cuts, strict=True):
+            cell = np.where(x.isna(), 0, 1 + np.searchsorted(at, x.fillna(0).to_numpy(np.int64), side="left"))
+            cells.append((cell << BITS) // (len(at) + 2))
+        return pd.Series(hilbert_index(np.column_stack(cells)))
+
+    return curve
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -146,10 +170,10 @@ def placed(big: list[tuple], cells: np.ndarray, total: int, shards: int) -> tupl
 def shard_groups(rows: DataFrame, shards: int) -> tuple[DataFrame, dict]:
     """(__g1, __g2, __curve, __shard) of each small group, and where the big ones go. rows: keyed, with doc_id, source and lang."""
     prepare(rows.sparkSession)
-    code = lambda c: F.coalesce(F.pmod(F.xxhash64(F.col(c)), F.lit((1 << BITS) - 1)) + 1, F.lit(0))
-    head = F.min(F.struct(F.col("doc_id"), code("source").alias("s"), code("lang").alias("l"), F.col("__size").alias("z"))).alias("h")
+    curve = curve_of(cuts_of(rows))
+    head = F.min(F.struct(F.col("doc_id"), name_code("source").alias("s"), name_code("lang").alias("l"), F.col("__size").alias("z"))).alias("h")
     groups = rows.groupBy(F.col("__k1").alias("__g1"), F.col("__k2").alias("__g2")).agg(head, F.sum("__size").alias("__bytes"))
-    groups = written(groups.withColumn("__curve", curve_of(F.col("h.s"), F.col("h.l"), F.col("h.z"))).drop("h"), "shard-groups")
+    groups = written(groups.withColumn("__curve", curve(F.col("h.s"), F.col("h.l"), F.col("h.z"))).drop("h"), "shard-groups")
     total = int(groups.agg(F.sum("__bytes")).first()[0] or 0)
     limit = BIG * total / shards
     cell = (F.col("__curve") / F.lit((1 << 3 * BITS) // COARSE)).cast("int")
@@ -165,21 +189,23 @@ def shard_groups(rows: DataFrame, shards: int) -> tuple[DataFrame, dict]:
     for c in cuts[:-1]:
         shard = shard + (middle >= F.lit(float(c))).cast("int")
     small = small.select("__g1", "__g2", "__curve", shard.cast("int").alias("__shard"))
-    lot = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(5)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    return small, {"where": where, "lot": lot, "groups": groups.where(F.col("__bytes") >= limit).select("__g1", "__g2", "__curve")}
+    return small, {"where": where, "groups": groups.where(F.col("__bytes") >= limit).select("__g1", "__g2", "__curve")}
 
 
 def assigned(rows: DataFrame, shards: int) -> DataFrame:
     """rows with __curve and __shard."""
     narrow = only(rows, "doc_id", "source", "lang", "__k1", "__k2", "__size")
+    # the place in the scan, which is the same whenever a task runs again: rows of one id, or of none, are spread too
+    place = F.xxhash64(F.col("doc_id"), F.monotonically_increasing_id())
+    rows = rows.withColumn("__lot", F.pmod(place, F.lit(1 << 20)) / F.lit(float(1 << 20)))
     small, big = shard_groups(narrow, shards)
     spark = rows.sparkSession
     spec = [(k1, k2, int(s), float(lo), float(hi)) for (k1, k2), parts in big["where"].items() for (s, _), lo, hi in zip(parts, np.cumsum([0] + [p for _, p in parts[:-1]]), [*np.cumsum([p for _, p in parts[:-1]]), 2.0], strict=True)]
     few = spark.createDataFrame(spec, "__b1 long, __b2 long, __shard int, __low double, __high double")
     few = few.join(big["groups"], (F.col("__b1") == F.col("__g1")) & (F.col("__b2") == F.col("__g2"))).drop("__b1", "__b2")
     both = small.withColumns({"__low": F.lit(0.0), "__high": F.lit(2.0)}).unionByName(few)
-    on = (F.col("__k1") == F.col("__g1")) & (F.col("__k2") == F.col("__g2")) & (big["lot"] >= F.col("__low")) & (big["lot"] < F.col("__high"))
-    return rows.join(both, on).drop("__g1", "__g2", "__low", "__high")
+    on = (F.col("__k1") == F.col("__g1")) & (F.col("__k2") == F.col("__g2")) & (F.col("__lot") >= F.col("__low")) & (F.col("__lot") < F.col("__high"))
+    return rows.join(both, on).drop("__g1", "__g2", "__low", "__high", "__lot")
 
 
 def slotted(rows: DataFrame) -> DataFrame:
@@ -199,3 +225,36 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     out = slotted(assigned(keyed(docs), shards))
     own = [c for c in docs.columns if c not in ("shard", "slot", "hilbert")]
     return out.select(*[F.col(f"`{c}`") for c in own], F.col("__shard").alias("shard"), F.col("__slot").alias("slot"), F.col("__curve").alias("hilbert"))
+
+
+def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> DataFrame:
+    """Writes docs as Parquet by shard, in the order of slots, and beside it an index of the files: file, shard, n_rows, and the ranges of source, lang, size (bytes of the text, plus 1) and hilbert. Returns the index."""
+    spark = docs.sparkSession
+    out = shard(docs, shards).withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1)
+    out.sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(f"{path}/data")
+    ranges = [f(c).alias(f"{name}_{c}") for c in ("source", "lang", "size", "hilbert") for f, name in ((F.min, "min"), (F.max, "max"))]
+    nulls = [(F.count("*") - F.count(c)).alias(f"null_{c}") for c in ("source", "lang")]
+    files = spark.read.parquet(f"{path}/data").groupBy(F.col("_metadata.file_path").alias("file"), "shard").agg(F.count("*").alias("n_rows"), *ranges, *nulls)
+    files.coalesce(1).write.mode("overwrite").parquet(f"{path}/index")
+    return spark.read.parquet(f"{path}/index")
+
+
+def meeting_files(index: DataFrame, source: str | None = None, lang: str | None = None, least: int | None = None, most: int | None = None) -> DataFrame:
+    """The files that can hold rows of that source and language, of least to most bytes."""
+    for c, x in (("source", source), ("lang", lang)):
+        if x is not None:
+            index = index.where((F.col(f"min_{c}") <= x) & (F.col(f"max_{c}") >= x))
+    if least is not None:
+        index = index.where(F.col("max_size") >= least)
+    return index.where(F.col("min_size") <= most) if most is not None else index
+
+
+def read_shards(spark: SparkSession, path: str, source: str | None = None, lang: str | None = None, least: int | None = None, most: int | None = None) -> DataFrame:
+    """The rows that meet the filter; files whose ranges don't are never opened. The driver reads the names of the others, one for each file."""
+    files = [r[0] for r in meeting_files(spark.read.parquet(f"{path}/index"), source, lang, least, most).select("file").orderBy("file").collect()]
+    data = spark.read.option("basePath", f"{path}/data").schema(spark.read.parquet(f"{path}/data").schema)
+    df = data.parquet(*files) if files else data.parquet(f"{path}/data").limit(0)
+    for c, x in (("source", source), ("lang", lang)):
+        df = df.where(F.col(c) == x) if x is not None else df
+    df = df.where(F.col("size") >= least) if least is not None else df
+    return df.where(F.col("size") <= most) if most is not None else df

@@ -116,6 +116,58 @@ def test_decontamination(docs, none, items):
     assert {r.doc_id for r in rows(decontaminate.decontaminate(docs, items))} == {0, 1, 2, 7, 8, 9, 10, None}
 
 
+def test_several_blocks_of_items_give_what_one_gives(spark, docs, items, monkeypatch):
+    long = spark.createDataFrame([(7, " ".join(f"s{k}" for k in range(20, 110))), (8, "same row")], "item_id long, text string")
+    both = items.unionByName(long)
+    want = [sorted(rows(f(docs, both)), key=str) for f in (decontaminate.contamination, decontaminate.decontaminate)]
+    monkeypatch.setattr(decontaminate, "WORD_BYTES", decontaminate.TABLE_BYTES // 30)
+    blocks = list(decontaminate.item_blocks(both))
+    assert len(blocks) > 3 and all(sum(t.count(" ") + 1 for _, t in b) <= 30 for b in blocks)
+    assert want == [sorted(rows(f(docs, both)), key=str) for f in (decontaminate.contamination, decontaminate.decontaminate)]
+
+
+def test_pieces_hold_every_window_once():
+    for n in (1, 9, 10, 11, 25, 60):
+        words = [f"w{k}" for k in range(n)]
+        got = [tuple(p.split()[k : k + min(10, n)]) for p in decontaminate.pieces(" ".join(words), 10, 20) for k in range(len(p.split()) - min(10, n) + 1)]
+        assert got == [tuple(words[k : k + min(10, n)]) for k in range(n - min(10, n) + 1)]
+
+
+def test_files_are_skipped(spark, tmp_path):
+    df = spark.createDataFrame([(k, f"text {k} " + "x" * (k % 50 * 20), ("en", "de", None)[k % 3], ("a", "b", "c", "web", None)[k % 5]) for k in range(2000)], "doc_id long, text string, lang string, source string")
+    index = sharding.write_shards(df, f"file://{tmp_path}/out")
+    assert index.agg({"n_rows": "sum"}).first()[0] == 2000
+    for want in ({"source": "web"}, {"lang": "de"}, {"source": "a", "lang": "en", "least": 300, "most": 500}, {"source": "none"}):
+        meet = sharding.meeting_files(index, **want).count()
+        got = sharding.read_shards(spark, f"file://{tmp_path}/out", **want)
+        size = lambda r: len(r.text) + 1
+        ok = lambda r: all(getattr(r, c) == want[c] for c in ("source", "lang") if c in want) and want.get("least", 0) <= size(r) <= want.get("most", 10**9)
+        assert meet < 0.7 * index.count() and sorted(r.doc_id for r in rows(got)) == [r.doc_id for r in rows(df) if ok(r)]
+
+
+def test_names_sort_as_their_codes(spark):
+    names = ["", "a", "ab", "b", "Z", "\u00e9", "\U0001f600", "abcdefgh", "abcdefg"]
+    got = rows(spark.createDataFrame([(n,) for n in names], "n string").select("n", sharding.name_code("n").alias("c")))
+    assert [r.c for r in sorted(got, key=lambda r: r.n.encode())] == sorted(r.c for r in got) and all(r.c >= 0 for r in got)
+
+
+def test_one_id_of_a_large_group_is_divided(spark):
+    df = spark.createDataFrame([(1 if k % 2 else None, "same text", "en", "a") for k in range(400)] + [(k, f"other {k}", "en", "a") for k in range(400)], "doc_id long, text string, lang string, source string")
+    per = {}
+    for r in rows(sharding.shard_plan(df, 4)):
+        per[r.shard] = per.get(r.shard, 0) + r["size"]
+    assert len(per) == 4 and max(per.values()) < 1.15 * min(per.values())
+
+
+def test_working_tables_are_removed(spark, docs):
+    from facetlens.llm import common
+
+    at = common.written(docs, "gone").inputFiles()
+    assert at and common.clean_up(spark) > 0 and common.clean_up(spark) == 0
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        spark.read.parquet(at[0])
+
+
 def test_sharding(docs, none):
     got = rows(sharding.shard_plan(docs, 4))
     assert len(got) == 13
