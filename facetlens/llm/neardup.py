@@ -5,8 +5,13 @@ branch documents by selected tokens: the root of tree t by token t, so that
 documents that share it meet in a node. Small nodes are compared exhaustively.
 In larger nodes every document is compared with one leader; the few that
 aren't like it are held against the rest, and where they are many the node
-branches again by two tokens that its path selects, and so on. Twelve independent trees find a pair of similarity 0.8 but for 4 in 10**9
-(0.2**12), one of 0.85 but for 1 in 10**10.
+branches again by two tokens that its path selects, none of them shared by the
+path already, and so on. A pair of similarity 0.8 shares none of twelve roots in
+4 of 10**9 cases (0.2**12). Where nodes branch, each level loses (1 - 0.8)**2 of
+a tree's chance, so that four levels leave 0.68 of it and twelve trees miss the
+pair in about 1 of 10**6 cases; one of 0.85 in under 1 of 10**7. The trees share
+one signature of 32 tokens, so inner branches of different trees aren't quite
+independent.
 
 Tokens only propose: links are confirmed on the full sets, inside the node, by
 a scan that compares every document outside the node's largest component with
@@ -40,8 +45,8 @@ TOKENS, TREES, SMALL, LEVELS, FAN = 32, 12, 64, 4, 2
 PHASES = ((0, 1), (1, TREES))
 #: Share of equal tokens from which a pair is confirmed on full sets: 0.8 is below 16 of 32 once in 10**4 a tree, over twelve trees never.
 MAYBE = 14
-#: Documents of one large node that a task holds at once.
-BLOCK = 2048
+#: Documents of one large node, and shingles of them, that a task holds at once.
+BLOCK, BLOCK_SHINGLES = 2048, 2_000_000
 
 _ODD = mixed(np.arange(1, TOKENS + 1, dtype=U)) | U(1)
 _XOR = mixed(np.arange(1001, TOKENS + 1001, dtype=U))
@@ -137,14 +142,15 @@ def proposals(sets: DataFrame) -> DataFrame:
     """node, id, tree of the documents to confirm. sets: id, sig, roots."""
     roots = F.explode(F.array(*[F.struct(F.xxhash64(F.lit(t), F.substring("roots", 8 * t + 1, 8)).alias("node"), F.lit(t).alias("tree")) for t in range(TREES)])).alias("r")
     # Most roots hold one document, so tokens join them only once those are gone.
-    nodes = sets.select("id", roots).select("r.node", "id", "r.tree")
+    # path: a bit for each token that the documents of a node share by how they got there
+    nodes = sets.select("id", roots).select("r.node", "id", "r.tree", F.expr("shiftleft(1L, r.tree)").alias("path"))
     found, smalls = [], []
     for level in range(LEVELS + 1):
         stat = nodes.groupBy("node").agg(F.count("*").alias("size"), F.min("id").alias("leader"), F.bit_xor(F.xxhash64("id")).alias("who")).where("size > 1")
         # Nodes of the same documents are one node, whatever tree they stand in.
         stat = stat.groupBy("size", "leader", "who").agg(F.min("node").alias("node")).drop("who")
         members = nodes.join(stat, "node")
-        members = written(members if level else members.join(sets.select("id", "sig"), "id").select("node", "id", "tree", "sig", "size", "leader"), "nodes")
+        members = written(members if level else members.join(sets.select("id", "sig"), "id").select("node", "id", "tree", "path", "sig", "size", "leader"), "nodes")
         smalls.append(members.where(F.col("size") <= SMALL).select("node", "id", "tree", "sig"))
         large = members.where(F.col("size") > SMALL)
         lead = large.where("id = leader").select("node", F.col("sig").alias("lead")).dropDuplicates(["node"])
@@ -167,10 +173,13 @@ def proposals(sets: DataFrame) -> DataFrame:
         # a node of its own: what is like the leader has been compared in the star
         found.append(written(partners.unionByName(few).select(F.xxhash64("node", F.lit("odd")).alias("node"), "id", "tree"), "odd"))
         rows = large.where(F.col("odd") > SMALL)
-        fan = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.pmod(F.xxhash64("node", F.lit(j)), F.lit(TOKENS)).cast("int").alias("at")) for j in range(FAN)])).alias("c")
+        free = F.expr(f"filter(sequence(0, {TOKENS - 1}), x -> (shiftright(path, x) & 1) = 0)")
+        pick = lambda j: F.get("free", F.pmod(F.xxhash64("node") + j, F.size("free")).cast("int"))  # noqa: E731  FAN different ones
+        rows = rows.withColumn("free", free)
+        fan = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), pick(j).alias("at")) for j in range(FAN)])).alias("c")
         child = F.xxhash64("node", "c.j", token(F.col("sig"), F.col("c.at")))
         # written, as it is read twice: for the sizes of the nodes and for their members
-        nodes = written(rows.select("node", "id", "tree", "sig", fan).select(child.alias("node"), "id", "tree", "sig"), "children")
+        nodes = written(rows.select("node", "id", "tree", "path", "sig", fan).select(child.alias("node"), "id", "tree", F.expr("path | shiftleft(1L, c.at)").alias("path"), "sig"), "children")
     small = sorted_nodes(reduce(DataFrame.unionByName, smalls))
     found.append(written(small.mapInArrow(hopeful, "node long, id long, tree int"), "small"))
     return reduce(DataFrame.unionByName, found)
@@ -221,11 +230,12 @@ def confirm(percent: int, width: int):
 
 
 def confirmed(work: DataFrame, texts: DataFrame, labels: DataFrame | None, percent: int, width: int) -> list[DataFrame]:
-    """Links (a, b) of the nodes of work (node, id) whose documents have several labels. Nodes of over BLOCK documents are
-    dealt out in blocks, each with the leader; documents that aren't linked to it are then held against every block."""
+    """Links (a, b) of the nodes of work (node, id, n) whose documents have several labels. Nodes of over BLOCK documents, or
+    over BLOCK_SHINGLES shingles, are dealt out in blocks, each with the leader; documents that aren't linked to it are then held against every block."""
     work = work.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")) if labels is not None else work.withColumn("label", F.col("id"))
-    stat = work.groupBy("node").agg(F.count("*").alias("size"), F.min("label").alias("l1"), F.max("label").alias("l2"), F.min("id").alias("leader")).where("l1 < l2").drop("l1", "l2")
-    rows = work.join(stat, "node").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    stat = work.groupBy("node").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"), F.min("label").alias("l1"), F.max("label").alias("l2"), F.min("id").alias("leader")).where("l1 < l2").drop("l1", "l2")
+    blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.least(F.col("shingles") / BLOCK_SHINGLES, F.col("size") / 2)))
+    rows = work.join(stat, "node").withColumn("blocks", blocks.cast("int"))
     whole = rows.where("blocks = 1").select("node", "id", "label", F.lit(False).alias("probe"))
     many = written(rows.where("blocks > 1"), "blocks")
     link = confirm(percent, width)
@@ -269,13 +279,13 @@ def components(docs: DataFrame, percent: int = 85, width: int = 5) -> DataFrame:
     docs = spread(docs)
     sk = written(sketches(docs, width), "sketches")
     sets = written(sk.where("n > 0 and doc_id is not null").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"), F.first("roots").alias("roots")), "sets")
-    work = written(proposals(sets.select("id", "sig", "roots")), "work")
+    work = written(proposals(sets.select("id", "sig", "roots")).join(sets.select("id", "n"), "id"), "work")
     ids = work.select("id").distinct()
     texts = written(only(docs, "doc_id", "text").join(ids.hint("merge"), F.col("doc_id") == F.col("id")).where("text is not null").select("id", "text").dropDuplicates(["id"]), "texts")
     edges: list[DataFrame] = []
     labels = None
     for low, high in PHASES:
-        edges += confirmed(work.where((F.col("tree") >= low) & (F.col("tree") < high)).select("node", "id").distinct(), texts, labels, percent, width)
+        edges += confirmed(work.where((F.col("tree") >= low) & (F.col("tree") < high)).select("node", "id", "n").distinct(), texts, labels, percent, width)
         labels = smallest_reachable(reduce(DataFrame.unionByName, edges))
     drop_written(texts)
     own = sets.join(labels, "id", "left").select(F.col("k1").alias("s1"), F.col("k2").alias("s2"), F.col("n").alias("sn"), F.coalesce("label", "id").alias("comp"))
