@@ -87,8 +87,8 @@ def test_planted_structure_is_found(spark):
     assert retention.nmi(found, np.array(f)) > 0.95
     assert fit(items(spark, m, f), method="parallel", n_iter=20).n_factors == 5
     assert "5 factors" in out.report() and out.as_dict()["factors"] == 5
-    kept, short = simplify(items(spark, m, f), fit(items(spark, m, f), n_factors=5), 5)
-    assert kept.count() == 25 and len(short.codes) == 25
+    short = simplify(items(spark, m, f), fit(items(spark, m, f), n_factors=5), 5)
+    assert short.kept.count() == 25 and len(short.fit.codes) == 25
 
 
 def test_networks_find_planted_groups():
