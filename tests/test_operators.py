@@ -200,8 +200,8 @@ def test_collisions_are_settled():
     picks = {"p": dict(gates["p"][0], score=0.9), "q": dict(gates["q"][0], score=0.8)}
     out = naming.settle_collisions(picks, gates)
     assert out["p"]["word"] == "aa" and out["q"]["word"] == "cc" and out["q"]["collision_moved"]
-    with pytest.raises(ValueError, match="no free family"):
-        naming.settle_collisions({"p": gates["p"][0], "q": gates["q"][0]}, {"p": gates["p"][:1], "q": gates["q"][:1]})
+    out = naming.settle_collisions({"p": gates["p"][0], "q": gates["q"][0]}, {"p": gates["p"][:1], "q": gates["q"][:1]})
+    assert out["p"]["word"] == "aa" and (out["q"]["word"], out["q"]["rule"]) == (None, "exhausted")  # nothing is left: no label
 
 
 def test_encoder_is_checked_and_cached(spark, tmp_path):
