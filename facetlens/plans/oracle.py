@@ -78,7 +78,7 @@ st AS (SELECT *, CASE WHEN usual IS NULL THEN 'about typical' WHEN sim_items >=
 ITEM_FIT = item_fit()
 ITEM_FIT_COLUMNS = f"""ord, best, {r6('sim_name')} AS sim_name, {r6('sim_items')} AS sim_items, second, {r6('gap')} AS gap, strength, nearest, {r6('nearest_sim')} AS nearest_sim,
 CASE WHEN nearest_sim >= 0.9 THEN 'redundant' WHEN strength = 'weaker than average' THEN 'weak' WHEN gap < 0.07 THEN 'cross-loads' ELSE 'good' END AS verdict"""
-ORDERED = "b AS (SELECT factor, row_number() OVER (ORDER BY CASE factor WHEN '3' THEN 0 WHEN '1' THEN 1 ELSE 2 END, factor) AS block FROM u GROUP BY factor), o AS (SELECT ord, factor, block, row_number() OVER (ORDER BY block, ord) AS place FROM u JOIN b USING (factor))"
+ORDERED = "b AS (SELECT factor, row_number() OVER (ORDER BY CASE factor WHEN '3' THEN 0 WHEN '1' THEN 1 ELSE 2 END, min(ord)) AS block FROM u GROUP BY factor), o AS (SELECT ord, factor, block, row_number() OVER (ORDER BY block, ord) AS place FROM u JOIN b USING (factor))"
 AXES = f"""{U}, {LONG}, e AS (SELECT axis, pos, avg(x) FILTER (factor = lo) AS lo, avg(x) FILTER (factor = hi) AS hi FROM l, (VALUES ('first', '0', '1'), ('second', '2', '3')) t(axis, lo, hi) GROUP BY ALL),
 x AS (SELECT axis, list(lo ORDER BY pos) AS lo, list(hi ORDER BY pos) AS hi, list(hi - lo ORDER BY pos) AS a FROM e GROUP BY axis),
 y AS (SELECT axis, a, sqrt(list_dot_product(a, a)) AS an, list_dot_product(lo, a) / sqrt(list_dot_product(lo, lo) * list_dot_product(a, a)) AS p0, list_dot_product(hi, a) / sqrt(list_dot_product(hi, hi) * list_dot_product(a, a)) AS p1 FROM x),
@@ -149,7 +149,7 @@ SELECT target, word, family, {r6('score')} AS score, CASE WHEN tier_place IS NOT
 SELECT i, j, {r6('avg(s)')} AS sim FROM x GROUP BY ALL""",
     "data_corr_matrix": " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) + 0.0 AS r FROM lineitem" for k, a in enumerate(["l_quantity", "l_extendedprice", "l_discount", "l_tax"]) for b in ["l_quantity", "l_extendedprice", "l_discount", "l_tax"][k + 1 :]),
     "response_clean_reverse_score": "SELECT l_returnflag, q, 6 - q AS reversed, count(*) AS n FROM (SELECT l_returnflag, CAST(trunc(l_quantity) AS INTEGER) % 7 AS q FROM lineitem) WHERE q BETWEEN 1 AND 5 GROUP BY ALL",
-    "corplot_order": f"""WITH {U}, b AS (SELECT factor, row_number() OVER (ORDER BY CASE factor WHEN '3' THEN 0 WHEN '1' THEN 1 ELSE 2 END, factor) AS block FROM u GROUP BY factor)
+    "corplot_order": f"""WITH {U}, b AS (SELECT factor, row_number() OVER (ORDER BY CASE factor WHEN '3' THEN 0 WHEN '1' THEN 1 ELSE 2 END, min(ord)) AS block FROM u GROUP BY factor)
 SELECT ord, factor, block, row_number() OVER (ORDER BY block, ord) AS place FROM u JOIN b USING (factor)""",
     "null_percentiles": f"WITH {U}, {LONG} SELECT pos AS rank, {r6('quantile_cont(x, 0.95)')} AS q FROM l GROUP BY pos",
     "cd_improvement": """WITH m AS (SELECT label + 1 AS k, median(abs(embedding[1]::DOUBLE)) AS m FROM embeddings GROUP BY label)
