@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import match_name
 from ..functions.vec import dot, norm, vector_sum
+from .similarity import nearest
 
 FLAG, STRENGTH, REDUNDANT, CROSS = 0.20, 0.05, 0.9, 0.07
 
@@ -117,36 +118,39 @@ def signed(candidates: DataFrame, reverse_key: bool = True) -> DataFrame:
     return candidates.withColumn("v", F.transform("v", lambda x: -x)) if reverse_key else candidates
 
 
-def profile(candidates: DataFrame, items: DataFrame, labels: DataFrame) -> DataFrame:
-    """ord, construct, sim_name, sim_items of each candidate (ord, v) and construct: to its label vector (construct, w) and to the centroid of its items' unit vectors."""
-    sums = vector_sum(items.select("factor", "v"), "factor").select(F.col("factor").alias("construct"), "s")
-    c = candidates.select("ord", "v", norm("v").alias("cn"))
-    return c.crossJoin(sums.join(labels, "construct")).select("ord", "construct", (dot("v", "w") / (F.col("cn") * norm("w"))).alias("sim_name"), (dot("v", "s") / (F.col("cn") * norm("s"))).alias("sim_items"))
-
+def profile(candidates: DataFrame, items: DataFrame, labels: DataFrame, members: bool = False, sign: int = 1) -> DataFrame:
+    """ord, construct, sim_name, sim_items of each candidate (ord, v) and construct: to its label vector (construct, w) and to the centroid of its items' unit vectors.
 
-def nearest_items(candidates: DataFrame, items: DataFrame) -> DataFrame:
-    """ord, nearest, nearest_sim: the item most like each candidate, the first of equals. Each task keeps the best of its part; candidates are a stated few, and go to every task in blocks."""
+    With `members` candidates are among the items, turned round where sign is -1, and each is left out of its own
+    construct's centroid as in anchor_centroid; NULL if nothing is left."""
+    sums = vector_sum(items.select("factor", "v"), "factor").select(F.col("factor").alias("construct"), "n", "s", dot("s", "s").alias("ss"))
     c = candidates.select("ord", "v", norm("v").alias("cn"))
-    near = c.crossJoin(items.select(F.col("ord").alias("nearest"), F.col("v").alias("iv"), norm("v").alias("inorm"))).select("ord", "nearest", (dot("v", "iv") / (F.col("cn") * F.col("inorm"))).alias("ns"))
-    return near.groupBy("ord").agg(F.max(F.struct("ns", (-F.col("nearest")).alias("m"))).alias("t")).select("ord", (-F.col("t.m")).alias("nearest"), F.col("t.ns").alias("nearest_sim"))
+    c = c.join(items.select("ord", F.col("factor").alias("own")), "ord", "left") if members else c.withColumn("own", F.lit(None).cast("string"))
+    a = c.crossJoin(sums.join(labels, "construct")).select("ord", "construct", "own", "n", "ss", (dot("v", "w") / (F.col("cn") * norm("w"))).alias("sim_name"), (dot("v", "s") / F.col("cn")).alias("a"))
+    rest = F.sqrt(F.greatest(F.col("ss") - 2 * sign * F.col("a") + 1, F.lit(0.0)))
+    left = F.when((F.col("n") > 1) & (rest > 1e-12), (F.col("a") - sign) / rest)
+    whole = F.col("a") / F.when(F.col("ss") > 0, F.sqrt("ss")).otherwise(F.lit(1.0))
+    return a.select("ord", "construct", "sim_name", F.when(F.col("own") == F.col("construct"), left).otherwise(whole).alias("sim_items"))
 
 
-def item_fit(candidates: DataFrame, items: DataFrame, labels: DataFrame, redundancy_cutoff: float = REDUNDANT, construct: str | None = None, reverse_key: bool = False) -> DataFrame:
+def item_fit(candidates: DataFrame, items: DataFrame, labels: DataFrame, redundancy_cutoff: float = REDUNDANT, construct: str | None = None, reverse_key: bool = False, members: bool = False) -> DataFrame:
     """ord, best, sim_name, sim_items, second, gap, strength, nearest, nearest_sim, verdict of each candidate (ord, v).
 
+    With `members` candidates are rows of items, by ord: each is held against all of them but itself.
+
     The construct whose items the candidate is most like is its best, and the gap is to the second by that similarity. With
     `construct` (a name, or the beginning of one) target and target_sim say how like that one's items it is."""
     if construct is not None:
         construct = match_name(construct, [r[0] for r in labels.select("construct").distinct().collect()])
     candidates = signed(candidates, reverse_key)
-    sims = profile(candidates, items, labels)
+    sims = profile(candidates, items, labels, members, -1 if reverse_key else 1)
     first = items.groupBy(F.col("factor").alias("construct")).agg(F.min("ord").alias("first"))
     w = Window.partitionBy("ord").orderBy(F.desc("sim_items"), "first")
     top = sims.join(first, "construct").withColumn("r", F.row_number().over(w)).where("r <= 2")
     at = lambda k, c: F.max(F.when(F.col("r") == k, F.col(c)))
     best = top.groupBy("ord").agg(at(1, "construct").alias("best"), at(1, "sim_name").alias("sim_name"), at(1, "sim_items").alias("sim_items"), at(2, "construct").alias("second"), at(2, "sim_items").alias("s2"))
     usual = own_similarity(anchor_centroid(items)).groupBy(F.col("factor").alias("best")).agg(F.avg("own").alias("usual"))
-    d = best.join(usual, "best", "left").join(nearest_items(candidates, items), "ord")
+    d = best.join(usual, "best", "left").join(nearest(candidates, items, others=members), "ord")
     gap = F.col("sim_items") - F.col("s2")
     strength = F.when(F.col("usual").isNull(), TYPICAL).when(F.col("sim_items") >= F.col("usual") + STRENGTH, STRONGER).when(F.col("sim_items") <= F.col("usual") - STRENGTH, WEAKER).otherwise(TYPICAL)
     verdict = F.when(F.col("nearest_sim") >= redundancy_cutoff, "redundant").when(strength == WEAKER, "weak").when(gap < CROSS, "cross-loads").otherwise("good")

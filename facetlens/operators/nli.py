@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..workers import ship
+
 
 def label_positions(labels: list[str] | None) -> dict[str, int]:
     """Where a classifier's output has contradiction and entailment; exactly one label must name each. Without labels the usual order holds: contradiction, entailment, neutral."""
@@ -50,6 +52,7 @@ def nli_pairs(texts: DataFrame, classifier: Callable[[list[str], list[str]], dic
         for a, b in batches:
             yield pd.Series(checked(classifier(a.tolist(), b.tolist()), len(a)))
 
+    ship(texts.sparkSession)
     a = texts.select(F.col("ord").alias("i"), F.col("text").alias("premise"))
     b = texts.select(F.col("ord").alias("j"), F.col("text").alias("hypothesis"))
     scored = a.join(b, F.col("i") != F.col("j")).select("i", "j", run("premise", "hypothesis").alias("sim"))

@@ -8,13 +8,15 @@ before pairs leave the worker.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..workers import ship
+
 ENCODINGS = ("atomic", "keyed", "squid", "pearson")
 BLOCK = 512
 
@@ -45,37 +47,93 @@ def column_means(items: DataFrame) -> np.ndarray:
     return np.array([x for _, x in sorted(map(tuple, rows))])
 
 
-def similarity_pairs(items: DataFrame, encoding: str = "atomic", threshold: float | None = None, block: int = BLOCK) -> DataFrame:
-    """i, j, sim of pairs with i < j; with a threshold only those of at least that absolute similarity."""
-    if encoding not in ENCODINGS:
-        raise ValueError(f"encoding must be one of {ENCODINGS}")
-    mean = column_means(items) if encoding == "squid" else None
-    blocks = items.groupBy((F.col("ord") / block).cast("long").alias("b")).agg(F.collect_list(F.struct("ord", "scoring", "v")).alias("rows"))
+def blocked(items: DataFrame, columns: tuple[str, ...], block: int = BLOCK) -> DataFrame:
+    """b, rows: the items by blocks of their numbers, each with the given columns."""
+    return items.groupBy((F.col("ord") / block).cast("long").alias("b")).agg(F.collect_list(F.struct(*columns)).alias("rows"))
+
+
+def numbers(items: DataFrame, name: str, block: int = BLOCK) -> DataFrame:
+    """The numbers of the items' blocks."""
+    return items.select((F.col("ord") / block).cast("long").alias(name)).distinct()
+
+
+class Side:
+    """One side of a pair of blocks in a worker: numbers, other columns, and a matrix of unit rows for each encoding, in order of the numbers."""
+
+    def __init__(self, rows: list[dict], encodings: tuple[str, ...], mean: np.ndarray | None):
+        rows = sorted(rows, key=lambda r: r["ord"])
+        m, scoring = np.array([r["v"] for r in rows], float), np.array([r["scoring"] for r in rows], float)
+        self.rows, self.ord = rows, np.array([r["ord"] for r in rows], np.int64)
+        self.units = [encode(m, e, scoring, mean) for e in encodings]
+
+    def column(self, name: str) -> list:
+        return [r[name] for r in self.rows]
+
+
+#: What a worker makes of two sides, their products by encoding, and which cells of these are pairs.
+Emit = Callable[[Side, Side, list[np.ndarray], np.ndarray], Iterator[pa.RecordBatch]]
+
+
+def block_products(items: DataFrame, encodings: tuple[str, ...], emit: Emit, schema: str, more: tuple[str, ...] = (), block: int = BLOCK) -> DataFrame:
+    """What emit yields of each pair of blocks: the sides, with the columns `more`, and one matrix product for each encoding."""
+    for e in encodings:
+        if e not in ENCODINGS:
+            raise ValueError(f"encoding must be one of {ENCODINGS}")
+    ship(items.sparkSession)
+    mean = column_means(items) if "squid" in encodings else None
+    blocks = blocked(items, ("ord", "scoring", "v", *more), block)
     right = blocks.select(F.col("b").alias("c"), F.col("rows").alias("others"))
-    # Both ends of each pair of blocks, by number: the partners of a block are the numbers from its own on.
-    numbers = blocks.select("b")
-    ends = numbers.join(numbers.select(F.col("b").alias("c")), F.col("b") <= F.col("c"))
-    work = ends.join(blocks, "b").join(right, "c").select("b", "c", "rows", "others")
+    # The partners of a block are the numbers from its own on.
+    work = blocks.join(numbers(items, "c", block), F.col("b") <= F.col("c")).join(right, "c").select("b", "c", "rows", "others")
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b, c, rows, others in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                (i, x), (j, y) = (side(r) for r in (rows, others))
-                s = x @ y.T
-                keep = np.triu(np.ones_like(s, bool), 1) if b == c else np.ones_like(s, bool)
-                if threshold is not None:
-                    keep &= np.abs(s) >= threshold
-                p, q = np.nonzero(keep)
-                for k in range(0, len(p), 100_000):
-                    a, z = p[k : k + 100_000], q[k : k + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(i[a]), pa.array(j[z]), pa.array(s[a, z])], ["i", "j", "sim"])
-
-    def side(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
-        rows = sorted(rows, key=lambda r: r["ord"])
-        m = np.array([r["v"] for r in rows], float)
-        return np.array([r["ord"] for r in rows], np.int64), encode(m, encoding, np.array([r["scoring"] for r in rows], float), mean)
+                x, y = Side(rows, encodings, mean), Side(others, encodings, mean)
+                s = [u @ w.T for u, w in zip(x.units, y.units, strict=True)]
+                cells = np.ones((len(x.ord), len(y.ord)), bool)
+                yield from emit(x, y, s, np.triu(cells, 1) if b == c else cells)
+
+    return work.mapInArrow(multiply, schema)
+
+
+def similarity_pairs(items: DataFrame, encoding: str = "atomic", threshold: float | None = None, block: int = BLOCK) -> DataFrame:
+    """i, j, sim of pairs with i < j; with a threshold only those of at least that absolute similarity."""
 
-    return work.mapInArrow(multiply, "i long, j long, sim double")
+    def over(x: Side, y: Side, products: list[np.ndarray], cells: np.ndarray) -> Iterator[pa.RecordBatch]:
+        s = products[0]
+        p, q = np.nonzero(cells if threshold is None else cells & (np.abs(s) >= threshold))
+        for k in range(0, len(p), 100_000):
+            a, z = p[k : k + 100_000], q[k : k + 100_000]
+            yield pa.RecordBatch.from_pydict({"i": x.ord[a], "j": y.ord[z], "sim": s[a, z]})
+
+    return block_products(items, (encoding,), over, "i long, j long, sim double", block=block)
+
+
+def nearest(queries: DataFrame, items: DataFrame, others: bool = False, block: int = BLOCK) -> DataFrame:
+    """ord, nearest, nearest_sim: the item (ord, v) of the highest cosine to each query (ord, v), the first of those equal to 12 decimals; with `others` not the one of the query's own number.
+
+    Every block of queries meets every block of items in a matrix product, and one row a query and block leaves the worker."""
+    ship(items.sparkSession)
+    asked = blocked(queries, ("ord", "v"), block).select(F.col("rows").alias("asked"))
+    work = asked.crossJoin(numbers(items, "b", block)).join(blocked(items, ("ord", "v"), block), "b").select("asked", "rows")
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for one, two in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                two = sorted(two, key=lambda r: r["ord"])
+                (i, x), (j, y) = ((np.array([r["ord"] for r in rows], np.int64), unit(np.array([r["v"] for r in rows], float))) for rows in (one, two))
+                s = np.round(x @ y.T, 12)
+                if others:
+                    s[i[:, None] == j] = -np.inf
+                at = s.argmax(axis=1)
+                top = s[np.arange(len(i)), at]
+                ok = np.isfinite(top)
+                yield pa.RecordBatch.from_pydict({"ord": i[ok], "nearest": j[at][ok], "s": top[ok]})
+
+    found = work.mapInArrow(best, "ord long, nearest long, s double")
+    top = found.groupBy("ord").agg(F.max(F.struct("s", (-F.col("nearest")).alias("m"))).alias("t"))
+    return top.select("ord", (-F.col("t.m")).alias("nearest"), F.col("t.s").alias("nearest_sim"))
 
 
 def both_ways(pairs: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.vec import rounded, vector_of, vector_sum
-from ..operators import agreement, constructs, diagnostics, kernels, maps, naming, nli, redundancy, retention, similarity
+from ..operators import agreement, constructs, diagnostics, kernels, maps, naming, nli, redundancy, retention, similarity, sums
 from ..operators.fit import fit_matrix, similarity_matrix
 from ..sources import files, pool
 from ..sources.items import dequantised, fixture, quantised, table
@@ -102,8 +102,7 @@ def pearson_pairs(spark, sf_dir):
 
 @query
 def encoding_ranges(spark, sf_dir):
-    each = [diagnostics.sim_range(pairs(spark, sf_dir, e)).withColumn("encoding", F.lit(e)) for e in similarity.ENCODINGS]
-    return six(reduce(DataFrame.unionByName, each), "lowest", "highest", "mean")
+    return six(sums.sim_ranges(fixture(spark, sf_dir)), "lowest", "highest", "mean")
 
 
 @query
@@ -118,14 +117,12 @@ def redundant_clusters(spark, sf_dir):
 
 @query
 def centrality(spark, sf_dir):
-    d = fixture(spark, sf_dir)
-    return six(redundancy.centrality(similarity.similarity_pairs(d), d.count()), "centrality")
+    return six(sums.centrality(fixture(spark, sf_dir)), "centrality")
 
 
 @query
 def suggest_remove(spark, sf_dir):
-    d = fixture(spark, sf_dir)
-    central = redundancy.centrality(similarity.similarity_pairs(d), d.count())
+    central = sums.centrality(fixture(spark, sf_dir))
     return redundancy.suggest_remove(redundancy.connected_components(pairs(spark, sf_dir, threshold=THRESHOLD)), central)
 
 
@@ -160,8 +157,7 @@ def jinglejangle_flags(spark, sf_dir):
 @query
 def item_fit_summary(spark, sf_dir):
     d = fixture(spark, sf_dir)
-    items = d.where("ord % 50 <> 0")
-    return six(constructs.item_fit(d.where("ord % 50 = 0").select("ord", "v"), items, labels_of(items)), "sim_name", "sim_items", "gap", "nearest_sim")
+    return six(constructs.item_fit(d.where("ord % 50 = 0").select("ord", "v"), d, labels_of(d), members=True), "sim_name", "sim_items", "gap", "nearest_sim")
 
 
 @query
@@ -217,12 +213,12 @@ def frobenius_phi(spark, sf_dir):
 
 @query
 def split_half(spark, sf_dir):
-    return six(agreement.split_half(pairs(spark, sf_dir)), "reliability")
+    return six(sums.split_half(fixture(spark, sf_dir)), "reliability")
 
 
 @query
 def disattenuated(spark, sf_dir):
-    return six(agreement.disattenuated(pairs(spark, sf_dir), pairs(spark, sf_dir, "pearson")), "r", "disattenuated")
+    return six(sums.disattenuated(fixture(spark, sf_dir)), "r", "disattenuated")
 
 
 @query
@@ -250,14 +246,13 @@ def kaiser_count(spark, sf_dir):
 
 @query
 def tefi_partition(spark, sf_dir):
-    d = fixture(spark, sf_dir)
-    return six(diagnostics.tefi(similarity.similarity_pairs(d), d.select("ord", F.col("factor").alias("group"))), "tefi")
+    return six(sums.tefi(fixture(spark, sf_dir)), "tefi")
 
 
 @query
 def rmsr_pairs(spark, sf_dir):
     d = fixture(spark, sf_dir)
-    return six(diagnostics.rmsr(similarity.similarity_pairs(d), d.select("ord", F.slice("v", 1, DEPTH).alias("l"))), "rmsr")
+    return six(sums.rmsr(d, d.select("ord", F.slice("v", 1, DEPTH).alias("l"))), "rmsr")
 
 
 @query
@@ -351,8 +346,7 @@ def gap_bands(spark, sf_dir):
 def item_fit_reversed(spark, sf_dir):
     """Reverse-keyed candidates, with a construct named by the beginning of its name."""
     d = fixture(spark, sf_dir).withColumn("factor", F.concat(F.lit("Scale "), "factor"))
-    items = d.where("ord % 50 <> 0")
-    out = constructs.item_fit(d.where("ord % 50 = 0").select("ord", "v"), items, labels_of(items), construct="scale 3", reverse_key=True)
+    out = constructs.item_fit(d.where("ord % 50 = 0").select("ord", "v"), d, labels_of(d), construct="scale 3", reverse_key=True, members=True)
     return six(out, "sim_name", "sim_items", "gap", "nearest_sim", "target_sim")
 
 

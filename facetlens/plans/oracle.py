@@ -64,14 +64,16 @@ def halves(p: str, name: str) -> str:
 
 
 def item_fit(name: str = "factor", sign: str = "") -> str:
-    """Candidates are the ids divisible by 50, against all others; name: the construct's name from its factor, sign: - for reverse-keyed ones."""
-    every = U.replace("u AS", "raw_items AS", 1) + f", every AS (SELECT * REPLACE ({name} AS factor) FROM raw_items), u AS (SELECT * FROM every WHERE ord % 50 <> 0), cand AS (SELECT * FROM every WHERE ord % 50 = 0)"
+    """Candidates are the ids divisible by 50, against all items but themselves; name: the construct's name from its factor, sign: - for reverse-keyed ones."""
+    every = U.replace("u AS", "raw_items AS", 1) + f", every AS (SELECT * REPLACE ({name} AS factor) FROM raw_items), u AS (SELECT * FROM every), cand AS (SELECT * FROM every WHERE ord % 50 = 0)"
     return f"""WITH {every}, {LONG}, {SUMS}, {LABELS}, {LOO},
-sims AS (SELECT cand.ord, s.factor AS construct, {sign}list_dot_product(v, w) / (cand.n * sqrt(list_dot_product(w, w))) AS sim_name, {sign}list_dot_product(v, s) / (cand.n * sqrt(list_dot_product(s, s))) AS sim_items FROM cand, s JOIN w USING (factor)),
+rest AS (SELECT cand.ord, u.factor, l.pos, sum(l.x / u.n) AS x FROM cand JOIN u ON u.ord <> cand.ord JOIN l ON l.ord = u.ord GROUP BY ALL),
+c AS (SELECT ord, factor, list(x ORDER BY pos) AS c FROM rest GROUP BY ALL),
+sims AS (SELECT cand.ord, c.factor AS construct, {sign}list_dot_product(v, w) / (cand.n * sqrt(list_dot_product(w, w))) AS sim_name, {sign}list_dot_product(v, c) / (cand.n * sqrt(list_dot_product(c, c))) AS sim_items FROM cand JOIN c USING (ord) JOIN w ON w.factor = c.factor),
 rk AS (SELECT sims.*, row_number() OVER (PARTITION BY ord ORDER BY sim_items DESC, first) AS r FROM sims JOIN (SELECT factor AS construct, min(ord) AS first FROM u GROUP BY factor) USING (construct)),
 b AS (SELECT x.ord, x.construct AS best, x.sim_name, x.sim_items, y.construct AS second, x.sim_items - y.sim_items AS gap FROM (SELECT * FROM rk WHERE r = 1) x LEFT JOIN (SELECT * FROM rk WHERE r = 2) y USING (ord)),
 usual AS (SELECT factor AS best, avg(sim) AS usual FROM anchor WHERE factor = construct GROUP BY factor),
-near AS (SELECT * FROM (SELECT cand.ord, u.ord AS nearest, {sign}list_dot_product(cand.v, u.v) / (cand.n * u.n) AS nearest_sim, row_number() OVER (PARTITION BY cand.ord ORDER BY {sign}list_dot_product(cand.v, u.v) / (cand.n * u.n) DESC, u.ord) AS r FROM cand, u) WHERE r = 1),
+near AS (SELECT * FROM (SELECT cand.ord, u.ord AS nearest, {sign}list_dot_product(cand.v, u.v) / (cand.n * u.n) AS nearest_sim, row_number() OVER (PARTITION BY cand.ord ORDER BY {sign}list_dot_product(cand.v, u.v) / (cand.n * u.n) DESC, u.ord) AS r FROM cand JOIN u ON u.ord <> cand.ord) WHERE r = 1),
 st AS (SELECT *, CASE WHEN usual IS NULL THEN 'about typical' WHEN sim_items >= usual + 0.05 THEN 'stronger than average' WHEN sim_items <= usual - 0.05 THEN 'weaker than average' ELSE 'about typical' END AS strength FROM b LEFT JOIN usual USING (best) JOIN near USING (ord))"""
 
 
