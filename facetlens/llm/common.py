@@ -2,22 +2,18 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROOT = str(Path(__file__).resolve().parents[2])
+from ..workers import ship
 
 
 def prepare(spark: SparkSession) -> None:
-    """Lets Python workers import this package wherever they start."""
-    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
-    if ROOT not in paths:
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
+    """Lets Python workers import this package wherever they start, on machines that haven't got it too."""
+    ship(spark)
 
 
 def shared_dir(spark: SparkSession) -> str:
