@@ -1,8 +1,9 @@
-"""Python workers and this package: they must be able to import it wherever they start."""
+"""What executors need: this package, which Python workers import wherever they start, and a folder that all of them see."""
 
 from __future__ import annotations
 
 import os
+import tempfile
 import zipfile
 from pathlib import Path
 
@@ -25,3 +26,17 @@ def ship(spark: SparkSession) -> None:
             z.write(f, f.relative_to(HERE.parent))
     sc.addPyFile(path)
     _shipped[:] = [sc.applicationId]
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors see: spark.checkpoint.dir, else the context's checkpoint folder, which is set here only where neither is set.
+
+    A running session takes no other value of spark.checkpoint.dir, so the context holds it."""
+    sc = spark.sparkContext
+    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not at:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="facetlens-"))
+        at = sc.getCheckpointDir()
+    return at

@@ -74,16 +74,25 @@ def test_item_fit_of_members_leaves_each_out(spark):
         assert all(a[k] == pytest.approx(b[k], abs=1e-9) for k in ("sim_name", "sim_items", "gap", "nearest_sim"))
 
 
-def test_workers_import_the_package_from_any_folder(spark, tmp_path):
+def test_package_and_shared_folder_without_any_settings(tmp_path):
+    """A session of another folder, whose configuration sets no checkpoint folder."""
     code = f"""
 import sys; sys.path.insert(0, {str(HERE)!r})
 from pyspark.sql import SparkSession
 s = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+from facetlens.operators.redundancy import connected_components
 from facetlens.operators.similarity import similarity_pairs
 from facetlens.sources.items import items_from
 d = s.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0])], "ord long, embedding array<double>")
-print(similarity_pairs(items_from(d, "ord", "embedding")).collect()[0].sim)
+print(s.conf.get("spark.checkpoint.dir", None), connected_components(similarity_pairs(items_from(d, "ord", "embedding"))).count())
 """
-    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | {"SPARK_CONF_DIR": str(tmp_path)}
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
-    assert out.stdout.split()[-1:] == ["1.0"], out.stderr[-2000:]
+    assert out.stdout.split()[-2:] == ["None", "2"], out.stderr[-2000:]
+
+
+def test_components_leave_only_their_result_behind(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(redundancy, "shared_dir", lambda _: f"file://{tmp_path}")
+    chain = spark.createDataFrame([(k, k + 1) for k in range(20)] + [(50, 60)], "i long, j long")
+    got = {r.item: r.cluster for r in redundancy.connected_components(chain).collect()}
+    assert got == {k: 0 for k in range(21)} | {50: 50, 60: 50} and len(list(tmp_path.iterdir())) == 1
