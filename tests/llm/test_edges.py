@@ -319,3 +319,21 @@ def test_stages(spark, docs, none, sf, empty):
         assert n <= 2 * df.count()
         if k < len(corpus_pipeline.STAGES) - 1:
             assert out.columns == df.columns
+
+
+def test_working_tables_without_a_checkpoint_setting(tmp_path):
+    """A session whose configuration sets no checkpoint folder: operators that write working tables run, and clean up."""
+    import os
+    import subprocess
+    import sys
+
+    here = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    code = f"""
+import sys; sys.path.insert(0, {here!r})
+from pyspark.sql import SparkSession
+s = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+from facetlens.llm.common import clean_up, written
+print(s.conf.get("spark.checkpoint.dir", None), written(s.range(3), "t").count(), clean_up(s))
+"""
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"SPARK_CONF_DIR": str(tmp_path)}, capture_output=True, text=True, timeout=120)
+    assert out.stdout.split()[-3:] == ["None", "3", "1"], out.stderr[-2000:]
