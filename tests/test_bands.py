@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from facetlens.operators import similarity
+from facetlens.operators import maps, similarity
 from facetlens.sources.items import items_from
 
 
@@ -34,3 +34,20 @@ def test_items_are_sent_a_fixed_number_of_times(spark, encoding):
     assert (i < j).all() and len(set(zip(i, j, strict=True))) == 800 * 799 // 2
     if encoding == "atomic":
         assert np.allclose(got["sim"], s[i, j])
+
+
+def test_heatmap_sends_no_pairs(spark):
+    s, d = some(spark, 700, 4)
+    d.count()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled(spark)
+        order = maps.group_order(d, ("1",))
+        got = maps.item_heatmap(d, order).toPandas()
+        assert shuffled(spark) - before < 2.5
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    at = {r.place: (r.ord + 40) // 3 for r in order.collect()}
+    m = np.full((700, 700), np.nan)
+    m[[at[r] for r in got["row"]], [at[c] for c in got["col"]]] = got["sim"]
+    assert len(got) == 490_000 and np.allclose(m, s)
