@@ -3,7 +3,8 @@
 import numpy as np
 import pytest
 
-from facetlens.operators import kernels
+from facetlens.operators import kernels, lowrank, similarity
+from facetlens.operators.fit import similarity_matrix
 from facetlens.plans import catalog
 
 N = 5100
@@ -30,3 +31,23 @@ def test_parallel_analysis_has_all_ranks(spark, large):
     draws = np.array([np.linalg.eigvalsh(y.T @ y)[::-1] for y in (d / np.linalg.norm(d, axis=1, keepdims=True) for d in x)])
     assert sorted(q) == list(range(1, N + 1)) and np.allclose([q[k] for k in range(1, 13)], np.percentile(draws, 95, axis=0))
     assert not any(q[k] for k in range(13, N + 1))
+
+
+def random_units(n=150, d=9):
+    """Unit rows with copies and rows of zeros."""
+    m = np.random.default_rng(4).standard_normal((n, d)) + 2 * np.random.default_rng(5).standard_normal((3, d))[np.arange(n) % 3]
+    m[[7, 70]] = m[8]
+    m[[5, 60]] = 0
+    return similarity.unit(m), similarity_matrix(m, "atomic", np.ones(n))
+
+
+def test_loadings_without_the_matrix_equal_those_with_it(spark, large):
+    u, s = random_units()
+    own, b = lowrank.repaired(u)
+    r = kernels.psd_repair(s)
+    assert np.allclose(np.diag(own) + b @ b.T, r, atol=1e-9)
+    assert np.allclose(lowrank.minres(own, b, 3), kernels.minres(r, 3) * np.sign((lowrank.minres(own, b, 3) * kernels.minres(r, 3)).sum(axis=0)), atol=1e-6)
+    assert np.allclose(lowrank.loadings(u, 3), kernels.oblimin(kernels.minres(r, 3))[0], atol=1e-4)
+    rows = catalog.QUERIES["fit_loadings"](spark, large[0]).collect()
+    assert len(rows) == 5 * N and {(r.factor, r.f_ord) for r in rows} == {(f"F{k + 1}", k) for k in range(5)} and all(np.isfinite(r.loading) for r in rows)
+    assert all(r.code == f"v{r.ord:04d}" for r in rows)
