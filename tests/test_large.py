@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from facetlens.operators import kernels, lowrank, similarity
+from facetlens.operators import kernels, lowrank, retention, similarity
 from facetlens.operators.fit import similarity_matrix
 from facetlens.plans import catalog
 
@@ -51,3 +51,21 @@ def test_loadings_without_the_matrix_equal_those_with_it(spark, large):
     rows = catalog.QUERIES["fit_loadings"](spark, large[0]).collect()
     assert len(rows) == 5 * N and {(r.factor, r.f_ord) for r in rows} == {(f"F{k + 1}", k) for k in range(5)} and all(np.isfinite(r.loading) for r in rows)
     assert all(r.code == f"v{r.ord:04d}" for r in rows)
+
+
+def test_networks_without_the_matrix_equal_those_with_it(spark, large, tmp_path):
+    for m in (random_units()[0], *(np.random.default_rng(9).standard_normal((n, 6)) for n in (1, 2, 4, 5, 40))):
+        m = similarity.unit(m[np.unique(m, axis=0, return_index=True)[1]])
+        s = similarity_matrix(m, "atomic", np.ones(len(m)))
+        w = kernels.tmfg(s)
+        i, j, x = lowrank.tmfg(m)
+        net = np.zeros_like(s)
+        net[i, j] = net[j, i] = x
+        assert np.allclose(net, np.abs(w)) and (lowrank.walktrap(len(m), i, j, x) == kernels.walktrap(w)).all()
+    star = np.zeros((90, 90))  # more edges than are added column by column
+    star[0, 1:] = star[1:, 0] = 1 + np.arange(89) / 7
+    star[range(1, 89), range(2, 90)] = star[range(2, 90), range(1, 89)] = 0.3
+    i, j = np.nonzero(np.triu(star))
+    assert (lowrank.walktrap(90, i, j, star[i, j]) == kernels.walktrap(star)).all()
+    got = {r.ord: r.community for r in catalog.QUERIES["ega_communities"](spark, large[0]).collect()}
+    assert len(got) == N and retention.nmi(np.array([got[k] for k in range(N)]), np.arange(N) % 4) > 0.1
