@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from facetlens.operators import kernels, lowrank, retention, similarity
+from facetlens.operators import kernels, lowrank, partials, retention, similarity
 from facetlens.operators.fit import similarity_matrix
 from facetlens.plans import catalog
 
@@ -69,3 +69,44 @@ def test_networks_without_the_matrix_equal_those_with_it(spark, large, tmp_path)
     assert (lowrank.walktrap(90, i, j, star[i, j]) == kernels.walktrap(star)).all()
     got = {r.ord: r.community for r in catalog.QUERIES["ega_communities"](spark, large[0]).collect()}
     assert len(got) == N and retention.nmi(np.array([got[k] for k in range(N)]), np.arange(N) % 4) > 0.1
+
+
+def test_partials_without_the_matrix_equal_those_with_it(spark):
+    rng = np.random.default_rng(1)
+    m = rng.standard_normal((150, 9))
+    copies = m.copy()
+    copies[[7, 70, 71]] = copies[8]
+    copies[60] = -copies[61]
+    for x, zero in ((m, []), (copies, []), (m, [5, 60])):
+        x[zero] = 0
+        u = similarity.unit(x)
+        for floor in (1e-2, 1e-3):  # high enough for the dense kernel to tell the components beyond the axes apart
+            got = partials.profile(spark, u, floor, band=64, group=16)
+            want = kernels.map_criterion(kernels.psd_repair(similarity_matrix(x, "atomic", np.ones(150)), floor))
+            assert len(got) == len(want) == (9 if zero else 144 if x is copies else 148) and np.allclose(got, want, rtol=1e-5 if x is m else 1e-3, atol=0)
+    for n, d in ((3, 2), (12, 3)):
+        got = partials.profile(spark, similarity.unit(rng.standard_normal((n, d))), group=4)
+        assert len(got) <= n - 2 and np.isfinite(got).all()
+
+
+def test_tied_items_have_components_of_their_own(spark):
+    m = np.concatenate([np.eye(3), -np.eye(3), np.eye(3), [[1, 2, 3], [3, 1, 2]], [[1, 1, 0], [1, -1, 0]]])
+    x = partials.axes(similarity.unit(m), 1e-2)
+    c = partials.components(x, [partials.roots(x.poles, x.rows, 0, len(x.poles) - 3)])
+    w = c.of(x, slice(0, 13), slice(0, 10)) / np.sqrt(1 + 1e-2 * (c.pole + c.offset))
+    assert np.allclose(w.T @ w, np.eye(10), atol=1e-9) and np.allclose(w.T @ x.w, 0, atol=1e-9)
+    l = c.pole + c.offset
+    assert np.allclose((w * x.p[:, None]).T @ w, np.diag(l), atol=1e-9)
+
+
+def test_map_rule_takes_all_items(spark, tmp_path):
+    """Over the limit of the dense kernel; copies of one vector, so that most components are of equal items and the profile soon ends."""
+    m = np.repeat(np.random.default_rng(2).standard_normal((30, 4)), 171, axis=0)[:N]
+    spark.createDataFrame([(k, v.tolist(), "f") for k, v in enumerate(m)], "vec_id long, embedding array<double>, label string").repartition(8).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.m: r.criterion for r in catalog.QUERIES["map_rule"](spark, str(tmp_path)).collect()}
+    u = similarity.unit(m)
+    values, vectors = np.linalg.eigh(u.T @ u)
+    e = (u @ vectors[:, :2]) @ (u @ vectors[:, :2]).T  # after two components the rest of the four is all but the floor
+    d = np.sqrt(np.diag(e))
+    assert sorted(got) == list(range(1, len(got) + 1)) and len(got) > 40
+    assert abs(got[2] - (((e / np.outer(d, d)) ** 2).sum() - N) / (N * (N - 1))) < 1e-4
