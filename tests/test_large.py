@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from facetlens.operators import kernels, lowrank, partials, retention, similarity
+from facetlens.operators import kernels, lowrank, partials, redundancy, retention, similarity
 from facetlens.operators.fit import similarity_matrix
 from facetlens.plans import catalog
 
@@ -110,3 +110,41 @@ def test_map_rule_takes_all_items(spark, tmp_path):
     d = np.sqrt(np.diag(e))
     assert sorted(got) == list(range(1, len(got) + 1)) and len(got) > 40
     assert abs(got[2] - (((e / np.outer(d, d)) ** 2).sum() - N) / (N * (N - 1))) < 1e-4
+
+
+def test_overlaps_by_components_equal_those_of_the_matrix(spark):
+    for n, d in ((20, 9), (40, 60)):
+        m = np.random.default_rng(6).standard_normal((n, d))
+        m[3] = 0
+        x, r = similarity.unit(m), kernels.psd_repair(similarity_matrix(m, "atomic", np.ones(n)))
+        i, j, w = lowrank.ebic_glasso(*lowrank.repaired(x), 1200)
+        net, want = np.zeros_like(r), kernels.ebic_glasso(r, 1200)
+        net[i, j] = net[j, i] = w
+        assert np.abs(net - want).max() < 2e-3 and len(i)
+        rows = redundancy.network_overlaps(spark, i, j, w, [f"v{k:02d}" for k in range(len(r))], band=16).collect()
+        overlap = np.abs(kernels.wto(net))
+        assert len(rows) == len(r) * (len(r) - 1) // 2 and len({(q.a, q.b) for q in rows}) == len(rows)
+        assert all(q.a < q.b and abs(q.overlap - overlap[int(q.a[1:]), int(q.b[1:])]) < 1e-12 for q in rows)
+    assert redundancy.network_overlaps(spark, *lowrank.ebic_glasso(*lowrank.repaired(np.eye(3)), 1000), ["a", "b", "c"]).toPandas().overlap.tolist() == [0, 0, 0]
+
+
+def test_graphical_lasso_settles_late():
+    """Many items of few dimensions need more than a thousand rounds."""
+    u = similarity.unit(np.random.default_rng(3).standard_normal((60, 3)))
+    s = kernels.psd_repair(u @ u.T)
+    x = kernels.graphical_lasso(s, 0.1)
+    g = np.linalg.inv(x) - s
+    assert np.abs(g).max() < 0.1 + 1e-3 and np.abs(g - 0.1 * np.sign(x))[x != 0].max() < 1e-3 and (x == 0).any()
+
+
+def test_uva_takes_all_items(spark, tmp_path):
+    """Over the limit of the dense kernel: 300 groups of 17 copies each, whose overlap has a closed form."""
+    n, size = 5100, 17
+    m = np.eye(300)[np.arange(n) % 300]
+    spark.createDataFrame([(k, v.tolist(), "f") for k, v in enumerate(m)], "vec_id long, embedding array<double>, label string").repartition(8).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = catalog.QUERIES["uva_pairs"](spark, str(tmp_path)).cache()
+    some = got.where("overlap > 1e-9").collect()
+    assert got.count() == n * (n - 1) // 2 and len(some) == 300 * size * (size - 1) // 2
+    r = (1 - 0.1) / (1 + 0.1)  # the smallest penalty: off the diagonal the similarity less the penalty, on it with the penalty
+    a = r / (1 + (size - 2) * r)
+    assert all(abs(q.overlap - ((size - 2) * a * a + a) / ((size - 1) * a + 1 - a)) < 1e-3 and (int(q.a[1:]) - int(q.b[1:])) % 300 == 0 for q in some)
