@@ -6,31 +6,36 @@ from pyspark.sql import DataFrame, SparkSession
 
 from facetlens.llm import decontaminate as decon
 from facetlens.llm import mixing, neardup, quality, sharding
-from facetlens.llm.common import spread, table, written
+from facetlens.llm.common import bounded_batches, spread, table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rule and the boosted trees, fitted on the labels of sf_dir."""
+    bounded_batches(spark)
     return quality.quality_filter(spread(docs), table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest doc_id, of each group linked by similarity 0.8 or more of five-word shingles."""
+    bounded_batches(spark)
     return neardup.near_dedup(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no ten-word window of a benchmark item occurs."""
+    bounded_batches(spark)
     return decon.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's target takes it."""
+    bounded_batches(spark)
     return mixing.mix(docs)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row with its shard, slot and place on the curve."""
+    bounded_batches(spark)
     return sharding.shard(docs)
 
 

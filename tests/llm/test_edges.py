@@ -337,3 +337,33 @@ print(s.conf.get("spark.checkpoint.dir", None), written(s.range(3), "t").count()
 """
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"SPARK_CONF_DIR": str(tmp_path)}, capture_output=True, text=True, timeout=120)
     assert out.stdout.split()[-3:] == ["None", "3", "1"], out.stderr[-2000:]
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_stages_send_texts_by_bytes(spark, monkeypatch, stage):
+    """Before, up to 10,000 whole texts went to a Python worker at once, whatever their length."""
+    import corpus_pipeline as cp
+    import pyarrow as pa
+
+    session = spark.newSession()
+    docs = session.range(0, 40, 1, 1).selectExpr("id AS doc_id", "repeat('some words ', 20000) AS text")
+    monkeypatch.setattr(cp, "table", lambda *_: None)
+    for where, name in ((cp.quality, "quality_filter"), (cp.neardup, "near_dedup"), (cp.decon, "decontaminate"), (cp.mixing, "mix"), (cp.sharding, "shard")):
+        monkeypatch.setattr(where, name, lambda df, *_: df)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "bytes"])
+
+    got = cp.STAGES[stage][1](session, docs, "").mapInArrow(sizes, "n long, bytes long").collect()
+    assert sum(r.n for r in got) == 40 and max(r.bytes for r in got) < 1_500_000
+
+
+@pytest.mark.parametrize(("own", "then"), [("64k", "64k"), ("64MB", str(1 << 20)), ("2147483647", str(1 << 20))])
+def test_bounded_batches_keep_a_smaller_bound(spark, own, then):
+    from facetlens.llm.common import bounded_batches
+
+    session = spark.newSession()
+    session.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", own)
+    bounded_batches(session)
+    assert session.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == then
